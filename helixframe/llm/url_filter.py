@@ -28,7 +28,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 SAMPLE = 10_000
 SUFFIX_SLOTS = 1024
 TREES, DEPTH, SHRINK, BINS, LEAST_ROWS, RIDGE = 20, 3, 0.3, 16, 20, 1.0
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "params", "query_length", "suffix_share", "suffix_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "params", "query_length", "suffix_rate"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -88,7 +88,8 @@ def suffix_statistics(rows: DataFrame) -> DataFrame:
 
 def with_suffix(rows: DataFrame, stats: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(stats), "slot", "left")
-    return joined.withColumn("suffix_share", F.log1p(F.coalesce("known", F.lit(0)))).withColumn("suffix_rate", (F.coalesce("blocked", F.lit(0)) + 1) / (F.coalesce("known", F.lit(0)) + 2))
+    # a suffix that no rule knows stands at one half; how often one is known says nothing about others
+    return joined.withColumn("suffix_rate", (F.coalesce("blocked", F.lit(0)) + 1) / (F.coalesce("known", F.lit(0)) + 2))
 
 
 @dataclass
