@@ -36,7 +36,9 @@ from tokenizers import pre_tokenizers
 #: The published split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each generation of a worker's tables, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Texts whose chunks are looked up together.
+TEXTS = 2048
 NEVER = np.iinfo(np.int64).max
 
 
@@ -52,7 +54,7 @@ class Recent(dict):
 
     def __init__(self, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.old, self.long = limit, {}, []
 
     def __missing__(self, key):
         value = self[key] = self.old.pop(key)
@@ -62,10 +64,19 @@ class Recent(dict):
         return keys.difference(self).difference(self.old)
 
     def turn(self) -> None:
+        """After a batch: forget what is too long to keep, and the older generation if this one is full."""
+        for key in self.long:
+            self.pop(key, None)
+        self.long.clear()
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
 
+    def learn(self, key: str, value: bytes) -> None:
+        self[key] = value
+        if len(key) > CACHE_CHARS:
+            self.long.append(key)
+
 
 class ByteBpe:
     """Vocabulary and merges of a byte-level BPE tokenizer file."""
@@ -236,23 +247,21 @@ class ByteBpe:
             return self.words.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self.split(chunk)]
 
-    def _learn(self, chunks: set[str], front: str, into: Recent) -> dict[str, bytes]:
-        cut = {c: self._cut(front + c) for c in chunks}
-        asked = {w for ws in cut.values() for w in ws}
-        new = list(self.known_words.lacking(asked))
-        ids = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True)) if new else {}
-        ids |= {w: self.known_words[w] for w in asked.difference(ids)}
-        self.known_words.update((w, ids[w]) for w in new if len(w) <= CACHE_CHARS)
-        self.known_words.turn()
-        made = {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
-        into.update((c, x) for c, x in made.items() if len(c) <= CACHE_CHARS)
-        return made
-
-    def _ids_of(self, chunks: set[str], front: str, known: Recent) -> dict[str, bytes]:
-        made = self._learn(known.lacking(chunks), front, known)
-        made |= {c: known[c] for c in chunks.difference(made)}
-        known.turn()
-        return made
+    def _learn(self, chunks: set[str], front: str, known: Recent) -> None:
+        """Make sure that the table has the ids of `front` + chunk for every chunk."""
+        cut = {c: self._cut(front + c) for c in known.lacking(chunks)}
+        words = self.known_words
+        asked: set[str] = set()
+        for ws in cut.values():
+            asked.update(ws)
+        new = list(words.lacking(asked))
+        if new:
+            for w, ids in zip(new, self.encode_words([w.encode() for w in new]), strict=True):
+                words.learn(w, ids)
+        of = words.__getitem__
+        for c, ws in cut.items():
+            known.learn(c, of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws)))
+        words.turn()
 
     def _chunks(self, text: str) -> list[str]:
         """Pieces that the pattern never joins; all but the first have lost the space in front."""
@@ -264,22 +273,24 @@ class ByteBpe:
         for text in texts:
             parts = self.special_cut.split(text) if self.special_cut and any(s in text for s in self.special) else [text]
             plan.append([(self.special[p], []) if k % 2 else (-1, self._chunks(p)) for k, p in enumerate(parts) if k % 2 or p])
-        heads = self._ids_of({c[0] for doc in plan for s, c in doc if s < 0}, "", self.known_heads)
         tails: set[str] = set()
         for doc in plan:
             for _, chunks in doc:
                 tails.update(chunks[1:])
-        tail_ids = self._ids_of(tails, " ", self.known_tails)
-        out = []
+        self._learn({c[0] for doc in plan for s, c in doc if s < 0}, "", self.known_heads)
+        self._learn(tails, " ", self.known_tails)
+        head, tail, out = self.known_heads.__getitem__, self.known_tails.__getitem__, []
         for doc in plan:
             got: list[bytes] = []
             for special, chunks in doc:
                 if special >= 0:
                     got.append(struct.pack("<I", special))
                 else:
-                    got.append(heads[chunks[0]])
-                    got.extend(map(tail_ids.__getitem__, chunks[1:]))
+                    got.append(head(chunks[0]))
+                    got.extend(map(tail, chunks[1:]))
             out.append(b"".join(got))
+        self.known_heads.turn()
+        self.known_tails.turn()
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -315,8 +326,8 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(spec.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 ids = model.encode([t or "" for t in part["text"].to_pylist()])
                 texts = [model.decode(x) for x in ids]
                 columns = [
