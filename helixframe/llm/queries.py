@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bpe, exact_dedup, language_id, license_scan, mixing, quality_rules, url_filter
+from helixframe.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, url_filter
 from helixframe.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
