@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import settle, workspace
@@ -113,19 +113,26 @@ def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            sets = [shingles(t) for t in texts]
             for s in sets:
                 cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > 4096 else 0
             small = [s for s in sets if len(s) <= 4096]
             if small:
                 cells += np.bincount((np.concatenate(small) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * len(sets)), batch["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(digest, sets)), pa.binary())],
-                names=["sketch", "doc_id", "n", "digest"],
+                [
+                    pa.array([False] * len(sets)),
+                    batch["doc_id"],
+                    pa.array(list(map(len, sets)), pa.int64()),
+                    pa.array(list(map(digest, sets)), pa.binary()),
+                    pa.array([hashlib.md5((t or "").encode()).hexdigest() for t in texts], pa.string()),
+                ],
+                names=["sketch", "doc_id", "n", "digest", "text_md5"],
             )
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum())]), pa.array([cells.tobytes()], pa.binary())], names=["sketch", "doc_id", "n", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum())]), pa.array([cells.tobytes()], pa.binary()), pa.array([None], pa.string())], names=["sketch", "doc_id", "n", "digest", "text_md5"])
 
-    return docs.mapInArrow(run, "sketch boolean, doc_id long, n long, digest binary")
+    return docs.mapInArrow(run, "sketch boolean, doc_id long, n long, digest binary, text_md5 string")
 
 
 def _order_classes(signatures: DataFrame) -> np.ndarray:
@@ -289,13 +296,13 @@ def _allowed(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 
 def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id."""
+    """One row per document: doc_id, n_shingles, component_id, class_id, text_md5."""
     spark = docs.sparkSession
     folder = folder or workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(_signatures(docs), folder, "signatures")
     classes = _order_classes(signed)
-    members = signed.filter("not sketch").select("doc_id", "n", "digest")
+    members = signed.filter("not sketch").select("doc_id", "n", "digest", "text_md5")
     reps = settle(members.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), folder, "classes")
 
     prefixes = _prefixes(docs, classes).join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
@@ -338,11 +345,16 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
+        "text_md5",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: the one with the component's smallest doc_id."""
+    """The documents with all their columns, one of each component: that with its smallest doc_id."""
+    key = lambda md5: F.concat_ws("|", md5, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     found = jaccard_components(docs)
-    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    heads = found.filter("doc_id is null or doc_id = component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_md5")).alias("_own")).agg(F.min("text_md5").alias("text_md5"))
+    rows = docs.withColumn("_key", key(F.md5(F.coalesce("text", F.lit("")))))
+    kept = rows.join(heads.select(key(F.col("text_md5")).alias("_key")), "_key", "left_semi")
+    once = Window.partitionBy("_key").orderBy("doc_id")
+    return kept.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").select(*docs.columns)

@@ -154,26 +154,26 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.array([found[k] / np.linalg.norm(found[k]) for k in names]).reshape(len(names), DIMS)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The documents with their columns, and lang_pred and score, which replace columns of these names."""
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with their columns, and the prediction and its score, which replace columns of these names."""
+    kept = [c for c in docs.columns if c.lower() not in names]
+    schema = T.StructType([docs.schema[c] for c in kept]).add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prototypes = shared.value
+        langs, prototypes = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 texts = [t or "" for t in part["text"].to_pylist()]
                 vectors = bundles(texts, list(range(len(texts))), len(texts))
                 size = np.sqrt((vectors**2).sum(axis=1))
-                cosine = vectors @ prototypes.T / np.maximum(size, 1e-9)[:, None] if names else np.zeros((len(texts), 1))
-                has = (size > 0) & bool(names) & np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+                cosine = vectors @ prototypes.T / np.maximum(size, 1e-9)[:, None] if langs else np.zeros((len(texts), 1))
+                has = (size > 0) & bool(langs) & np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
                 best = cosine.argmax(axis=1)
-                said = [names[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
+                said = [langs[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                 score = np.where(has, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(said, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(said, pa.string()), pa.array(score)], names=[*kept, *names])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -183,3 +183,9 @@ def predict(docs: DataFrame) -> DataFrame:
     model = learn(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose text is in some language; those without letters go."""
+    found = identify(docs, learn(docs), ("_lang_pred", "_lang_score"))
+    return found.filter(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)

@@ -66,13 +66,23 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, quality=text_quality, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+def _drawn(docs: DataFrame, quality) -> DataFrame:
+    """_row (all columns), doc_id, source, size, key and bucket of every document."""
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+        sampling_key(F.col("doc_id"), quality(F.col("text"))).alias("key"),
+    )
+    return rows.withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("int"))
+
+
+def mix_rows(docs: DataFrame, quality=text_quality, folder: str | None = None) -> DataFrame:
+    """Every document as _row, with size, source_size, target, epochs (complete ones) and part (words beyond them)."""
     folder = folder or workspace(docs.sparkSession, "mixing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), quality(F.col("text"))).alias("key"))
-    rows = settle(rows.withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("int")), folder, "keys")
-    cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    cells = settle(cells, folder, "cells")
+    rows = _drawn(docs, quality)
+    cells = settle(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), folder, "cells")
     targets = settle(source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))), folder, "targets")
     goal = F.round("target").cast("long")
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -80,12 +90,30 @@ def mix(docs: DataFrame, quality=text_quality, folder: str | None = None) -> Dat
     # one row per source and bucket, KEY_BUCKETS a source at most
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    cells = settle(cells.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), folder, "plan")
-    cells = cells.withColumnRenamed("source", "_source").withColumnRenamed("bucket", "_bucket")
+    cells = cells.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    cells = settle(cells.withColumnRenamed("source", "_source").withColumnRenamed("bucket", "_bucket"), folder, "plan")
     joined = rows.join(cells, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_bucket")
+    # the window has work only where the budget ends; elsewhere a document is in or out by its bucket
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     whole = joined.filter(~edge).withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     cut = joined.filter(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead)))
-    return whole.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return whole.unionByName(cut)
+
+
+def mix(docs: DataFrame, quality=text_quality, folder: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    rows = mix_rows(docs.select("doc_id", "source", "text"), quality, folder)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def mixture(docs: DataFrame, quality=text_quality) -> DataFrame:
+    """The mixed documents with all their columns, a row for each repeat; whole texts only.
+
+    The document in which a budget ends is in if half of it or more would be taken.
+    """
+    rows = mix_rows(docs, quality)
+    copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    repeated = rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
+    return repeated.select("_row.*")
