@@ -23,6 +23,20 @@ from helixframe.operators.reference import suffix_array
 PROBE = 32
 
 
+def common_prefix(a: str, b: str) -> int:
+    """How many characters two strings have in common at their start."""
+    n = 0
+    for x, y in zip(a[:PROBE], b[:PROBE], strict=False):
+        if x != y:
+            return n
+        n += 1
+    low, high = n, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
 @dataclass
 class ReferenceIndex:
     """A reference text with the order of its suffixes; positions may be limited to a range."""
@@ -42,7 +56,7 @@ class ReferenceIndex:
         while True:
             wanted = text[at : min(stop, at + look)]
             k = bisect_left(order, wanted, key=lambda p: ref[p : p + look])
-            best = max((self._common(text, at, stop, order[j]) for j in (k - 1, k) if 0 <= j < len(order)), default=0)
+            best = max((common_prefix(wanted, ref[p : p + look]) for p in order[max(k - 1, 0) : k + 1]), default=0)
             if best < look or at + look >= stop:
                 break
             look *= 4
@@ -51,19 +65,6 @@ class ReferenceIndex:
         wanted = text[at : at + best]
         return order[bisect_left(order, wanted, key=lambda p: ref[p : p + best])], best
 
-    def _common(self, text: str, at: int, stop: int, p: int) -> int:
-        ref, n, step = self.text, 0, 8
-        while step:
-            a, b = text[at + n : min(stop, at + n + step)], ref[p + n : p + n + step]
-            if a and a == b:
-                n += len(a)
-                step = 0 if at + n >= stop or p + n >= len(ref) else step * 2
-            elif len(a) <= 1 and len(b) <= 1:
-                break
-            else:
-                step = min(step, max(len(a), len(b))) // 2 if min(len(a), len(b)) else 0
-        return n
-
     def factors(self, text: str) -> tuple[list[int], list[int]]:
         positions, lengths, at, end = [], [], 0, len(text)
         while at < end:
