@@ -10,10 +10,12 @@ Documents are sets of hashed word 5-grams. Two link if their Jaccard similarity
 3. Linked sets share an n-gram among the first n - ceil(0.8 n) + 1 of either. These
    (n-gram, document) rows meet in a shuffle; n-grams of one document go.
 4. Stars: each shared n-gram proposes its smallest document with each other one, not
-   all pairs. A block holds one probe and the sets proposed to it, in global
+   all pairs, where lengths and positions allow 0.8. A block holds one probe and the sets proposed to it, in global
    order, as a prefix tree: sets that start alike share the overlap counted on the
    common path, and a subtree is left when its remaining length can't reach the
    overlap that is needed.
+   Before texts move, parity bitmaps of the sets, 2 to 4 bits an n-gram, bound each
+   pair's overlap from above: bits that differ are at most the n-grams that differ.
 5. Links give components. What is left are pairs of different components that share a
    prefix n-gram: all those whose lengths and positions allow 0.8 are proposed and
    joined in the same way. No pair that can link is left out, and members of
@@ -33,7 +35,9 @@ tables give empty results; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,7 @@ from helixframe.llm.common import settle, workspace
 
 WORDS = 5
 #: Cells of the count sketch that orders n-grams, a power of two.
-CELLS = 1 << 16
+CELLS = 1 << 20
 #: 64-bit slots of the bitmap of documents that share a prefix n-gram.
 ID_SLOTS = 1 << 16
 #: Sets in a block, beside the probe.
@@ -53,6 +57,8 @@ BLOCK = 256
 #: Tokens of a tree path that are compared before the bound is looked at again.
 STEP = 128
 WORD_TABLE = 1_000_000
+#: Texts that are hashed together.
+TEXTS = 256
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -70,30 +76,52 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct hashed 5-grams of the lower-cased (A-Z) words of a text, in order of hash."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    span = min(WORDS, len(h))
-    n = len(h) - span + 1
-    x = np.full(n, span if span < WORDS else 0, np.uint64)
-    for k in range(span):
-        x += h[k : k + n] * _ODD[k]
-        x ^= x >> np.uint64(29)
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the distinct hashed 5-grams of its lower-cased (A-Z) words, in order of hash."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    windows = max(len(h) - WORDS + 1, 0)
+    x = np.zeros(windows, np.uint64)
+    for k in range(WORDS):
+        _stir(x, h[k : k + windows], k)
+    _finish(x)
+    out = []
+    for start, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if n >= WORDS:
+            own = np.sort(x[start : start + n - WORDS + 1])
+            fresh = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[np.concatenate(([True], fresh))])
+        else:
+            whole = np.full(min(n, 1), n, np.uint64)
+            for k in range(n):
+                _stir(whole, h[start + k : start + k + 1], k)
+            _finish(whole)
+            out.append(whole)
+    return out
+
+
+def _stir(x: np.ndarray, h: np.ndarray, k: int) -> None:
+    x += h * _ODD[k]
+    x ^= x >> np.uint64(29)
+
+
+def _finish(x: np.ndarray) -> None:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    return np.unique(x)
 
 
 def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def cell_of(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def in_order(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Rare cells first, then by hash."""
-    rank = classes[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+    rank = classes[cell_of(grams)]
     return grams[np.argsort(rank, kind="stable")] if rank.any() else grams
 
 
@@ -112,46 +140,41 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
+        names = ["sketch", "doc_id", "n", "digest", "text_md5"]
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            sets = [shingles(t) for t in texts]
-            for s in sets:
-                cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > 4096 else 0
-            small = [s for s in sets if len(s) <= 4096]
-            if small:
-                cells += np.bincount((np.concatenate(small) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([False] * len(sets)),
-                    batch["doc_id"],
-                    pa.array(list(map(len, sets)), pa.int64()),
-                    pa.array(list(map(digest, sets)), pa.binary()),
-                    pa.array([hashlib.md5((t or "").encode()).hexdigest() for t in texts], pa.string()),
-                ],
-                names=["sketch", "doc_id", "n", "digest", "text_md5"],
-            )
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum())]), pa.array([cells.tobytes()], pa.binary()), pa.array([None], pa.string())], names=["sketch", "doc_id", "n", "digest", "text_md5"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                texts = part["text"].to_pylist()
+                sets = shingle_sets(texts)
+                np.add.at(cells, cell_of(np.concatenate(sets)), 1)
+                md5 = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
+                sizes = pa.array(list(map(len, sets)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), part["doc_id"], sizes, pa.array(list(map(digest, sets)), pa.binary()), pa.array(md5, pa.string())], names=names)
+        packed = pa.array([zlib.compress(cells.astype(np.uint32).tobytes(), 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum())]), packed, pa.array([None], pa.string())], names=names)
 
     return docs.mapInArrow(run, "sketch boolean, doc_id long, n long, digest binary, text_md5 string")
 
 
 def _order_classes(signatures: DataFrame) -> np.ndarray:
-    """The order's class of each cell: 0 for a usual count, then one more for each doubling of what is above it."""
+    """The order's class of each cell: 0 for a usual count, then one more for each doubling of what is above it.
+
+    Any such table gives a right order; a good one puts n-grams of many documents last.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for x in batch["digest"].to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["digest"])
+            for x in batch["digest"]:
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["digest"])
 
     tasks = signatures.filter("sketch").select("digest")
     counts = np.zeros(CELLS, np.int64)
     for r in tasks.repartition(8).mapInArrow(add, "digest binary").collect():
-        counts += np.frombuffer(r["digest"], np.int64)
+        counts += np.frombuffer(zlib.decompress(r["digest"]), np.int64)
     mean = counts.mean()
-    usual = 6 * np.sqrt(mean) + 8
-    above = np.maximum(counts - mean, 0) / usual
+    above = np.maximum(counts - mean, 0) / (1.5 * np.sqrt(mean) + 2)
     return np.where(above > 1, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
 
 
@@ -161,27 +184,49 @@ def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, parts = [], [], [], []
-            for k, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                grams = shingles(text)
-                n = len(grams)
-                if n:
-                    ids.append(k)
-                    sizes.append(n)
-                    digests.append(digest(grams))
-                    parts.append(in_order(grams, shared.value)[: n - least_shared(n) + 1])
+            ids, sizes, digests, parts, maps = [], [], [], [], []
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                for k, grams in zip(part["doc_id"].to_pylist(), shingle_sets(part["text"].to_pylist()), strict=True):
+                    n = len(grams)
+                    if n:
+                        ids.append(k)
+                        sizes.append(n)
+                        digests.append(digest(grams))
+                        parts.append(in_order(grams, shared.value)[: n - least_shared(n) + 1])
+                        maps.append(parity(grams))
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             tokens = pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), tokens)], names=["doc_id", "n", "digest", "prefix"])
+            map_ends = np.cumsum([0, *map(len, maps)]).astype(np.int32)
+            words = pa.array(np.concatenate(maps) if maps else np.empty(0, np.int64))
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), tokens), pa.ListArray.from_arrays(pa.array(map_ends), words)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "prefix", "parity"])
+
+    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parity array<long>")
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Whether an odd number of n-grams falls on each of 2 to 4 n bits, as 64-bit words."""
+    size = max(64, 2 << (len(grams) - 1).bit_length())
+    odd = np.bincount(((grams >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the parities of their sets (rep, n, parity) allow; sizes differ by one doubling at most."""
+    of = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    words = F.least(F.size("pa"), F.size("pb"))
+    fold = lambda p, i: F.get(p, i).bitwiseXOR(F.when(F.size(p) > words, F.get(p, i + words)).otherwise(F.lit(0).cast("long")))
+    unlike = F.aggregate(F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.bit_count(fold("pa", i).bitwiseXOR(fold("pb", i)))), F.lit(0), lambda s, x: s + x)
+    return rows.filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * unlike <= F.col("na") + F.col("nb"))).select("a", "b")
 
 
 class PrefixTree:
     """Sets in global order, sorted: neighbours share the path up to their common prefix."""
 
     def __init__(self, sets: list[np.ndarray], classes: np.ndarray):
-        self.order = sorted(range(len(sets)), key=lambda k: (classes[(sets[k] & np.uint64(CELLS - 1)).astype(np.int64)].tobytes(), sets[k].byteswap().tobytes()))
+        self.order = sorted(range(len(sets)), key=lambda k: self.path(sets[k], classes)) if len(sets) > 1 else [0]
         self.sets = [sets[k] for k in self.order]
         self.common = [0]
         for a, b in zip(self.sets, self.sets[1:], strict=False):
@@ -189,6 +234,13 @@ class PrefixTree:
             unlike = np.flatnonzero(a[:n] != b[:n])
             self.common.append(int(unlike[0]) if len(unlike) else n)
 
+    @staticmethod
+    def path(tokens: np.ndarray, classes: np.ndarray) -> bytes:
+        """Bytes that sort as the tokens do in global order."""
+        steps = np.empty(len(tokens), np.dtype([("class", "u1"), ("hash", ">u8")]))
+        steps["class"], steps["hash"] = classes[cell_of(tokens)], tokens
+        return steps.tobytes()
+
     def probe(self, query: np.ndarray) -> list[int]:
         """Numbers of the sets that link with the query, a set in order of hash."""
         found, size = [], len(query)
@@ -228,15 +280,18 @@ def _join_blocks(rows: DataFrame, classes: np.ndarray) -> DataFrame:
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for a, chunk, b, text in zip(*(batch[c].to_pylist() for c in ("a", "chunk", "b", "text")), strict=True):
-                if (a, chunk) != at:
-                    out += links()
-                    at, query, ids, sets = (a, chunk), None, [], []
-                if b is None:
-                    query = shingles(text)
-                else:
-                    ids.append(b)
-                    sets.append(in_order(shingles(text), rank))
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                columns = (part[c].to_pylist() for c in ("a", "chunk", "b"))
+                for a, chunk, b, grams in zip(*columns, shingle_sets(part["text"].to_pylist()), strict=True):
+                    if (a, chunk) != at:
+                        out += links()
+                        at, query, ids, sets = (a, chunk), None, [], []
+                    if b is None:
+                        query = grams
+                    else:
+                        ids.append(b)
+                        sets.append(in_order(grams, rank))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
         out = links()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
@@ -244,8 +299,18 @@ def _join_blocks(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Links among the proposed pairs (a, b); texts: rep, text."""
+def _texts_of(docs: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
+    """rep, text of all documents in pairs, and a few more: a bitmap of their ids, of fixed size, filters the scan."""
+    ids = settle(_id_filter(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), folder, f"{name}-ids")
+    h = F.xxhash64("doc_id")
+    wanted = docs.withColumn("slot", _slot(h)).join(F.broadcast(ids), "slot").filter(F.col("bits").bitwiseAND(_bit(h)) != 0)
+    return settle(wanted.select(F.col("doc_id").alias("rep"), "text"), folder, f"{name}-texts")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, classes: np.ndarray, folder: str, name: str) -> DataFrame:
+    """Links among the proposed pairs (a, b)."""
+    pairs = settle(_may_link(pairs, sets), folder, f"{name}-likely")
+    texts = _texts_of(docs, pairs, folder, name)
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
     cut = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
     probes = degree.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
@@ -306,20 +371,15 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     reps = settle(members.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), folder, "classes")
 
     prefixes = _prefixes(docs, classes).join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    prefixes = settle(prefixes.select(F.col("doc_id").alias("rep"), "n", "prefix"), folder, "prefixes")
+    prefixes = settle(prefixes.select(F.col("doc_id").alias("rep"), "n", "prefix", "parity"), folder, "prefixes")
     tokens = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     met = prefixes.select("rep", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("token", "hub")
     shared = settle(tokens.join(met, "token"), folder, "shared")
 
-    ids = settle(_id_filter(shared.select("rep")), folder, "ids")
-    h = F.xxhash64("doc_id")
-    wanted = docs.withColumn("slot", _slot(h)).join(F.broadcast(ids), "slot").filter(F.col("bits").bitwiseAND(_bit(h)) != 0)
-    texts = settle(wanted.select(F.col("doc_id").alias("rep"), "text"), folder, "texts")
-
-    stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    sizes = reps.select("rep", F.col("n").alias("na"))
-    stars = stars.join(sizes, F.col("a") == F.col("rep")).filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
-    links = settle(verify(stars, texts, classes), folder, "links-0")
+    hubs = shared.filter("rep = hub").select("token", F.col("n").alias("na"), F.col("pos").alias("pa"))
+    stars = shared.filter("rep <> hub").join(hubs, "token").filter(_allowed(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
+    stars = settle(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), folder, "stars")
+    links = settle(verify(docs, stars, prefixes, classes, folder, "stars"), folder, "links-0")
     label = components(links, folder, "first")
 
     known = shared.join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp"))
@@ -327,10 +387,11 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     rest = settle(known.join(mixed, "token", "left_semi"), folder, "rest")
     a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _allowed(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
+    allowed = _allowed(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & allowed)
     pairs = across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb")).distinct()
     pairs = settle(pairs, folder, "pairs")
-    more = verify(pairs.select("a", "b"), texts, classes)
+    more = verify(docs, pairs, prefixes, classes, folder, "pairs")
     more = settle(more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), folder, "links-1")
     if more.limit(1).count():
         joined = components(more, folder, "second").withColumnRenamed("node", "_c").withColumnRenamed("label", "_l")
