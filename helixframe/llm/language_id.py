@@ -168,7 +168,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[
                 texts = [t or "" for t in part["text"].to_pylist()]
                 vectors = bundles(texts, list(range(len(texts))), len(texts))
                 size = np.sqrt((vectors**2).sum(axis=1))
-                cosine = vectors @ prototypes.T / np.maximum(size, 1e-9)[:, None] if langs else np.zeros((len(texts), 1))
+                # summed row by row, so that a score doesn't depend on what else is in the batch
+                dots = [(vectors * p).sum(axis=1) for p in prototypes] or [np.zeros(len(texts))]
+                cosine = np.stack(dots, axis=1) / np.maximum(size, 1e-9)[:, None]
                 has = (size > 0) & bool(langs) & np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
                 best = cosine.argmax(axis=1)
                 said = [langs[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
