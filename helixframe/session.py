@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "helixframe", **conf: str) -> SparkSession:
-    """A session with adaptive plans and UTC times; `conf` keys use _ for dots in tests and tools."""
+    """A session with adaptive plans and UTC times; in `conf` keys _ stands for a dot."""
     builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
