@@ -57,6 +57,20 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def slices(text: Column, size: int, overlap: int = 0) -> Column:
+    """Pieces of `size` characters, each with `overlap` more of what follows; the last one is shorter.
+
+    Work is linear in the text: an ASCII text is cut as bytes, any other one as characters,
+    where substring() would count from the start for every piece.
+    """
+    n = F.char_length(text)
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    as_bytes = once(text.cast("binary"), lambda raw: F.transform(numbers, lambda b: F.substring(raw, b * size + 1, F.lit(size + overlap)).cast("string")))
+    as_chars = once(chars(text), lambda c: F.transform(numbers, lambda b: F.array_join(F.slice(c, b * size + 1, F.lit(size + overlap)), "")))
+    return F.when(F.octet_length(text) == n, as_bytes).otherwise(as_chars)
+
+
 def nibble_code(seq: Column) -> Column:
     """Four bits a symbol, A1 C2 G3 T4 N5 and other 0, first symbol in the low half; as hexadecimal digits."""
     digits = F.regexp_replace(F.translate(seq, "ACGTN", "12345"), "[^1-5]", "0")

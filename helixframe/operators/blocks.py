@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.text import slices
+
 
 def block_split(texts: DataFrame, size: int = 1000) -> DataFrame:
     """file_id, block_no, block_start, n, text: slices of `size` characters, the last one shorter. An empty text has none."""
-    n = F.char_length("text")
-    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    slices = F.transform(numbers, lambda b: F.substring(F.col("text"), b * size + 1, F.lit(size)))
-    rows = texts.select("file_id", F.posexplode(slices).alias("block_no", "text"))
+    rows = texts.select("file_id", F.posexplode(slices(F.col("text"), size)).alias("block_no", "text"))
     return rows.select("file_id", "block_no", (F.col("block_no") * size).cast("long").alias("block_start"), F.char_length("text").alias("n"), "text")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import ascii_upper, chars
+from helixframe.functions.text import ascii_upper, chars, slices
 
 #: What a header line starts with.
 HEADER = "^[>;#]"
@@ -49,10 +49,8 @@ def newline_skips(positions: DataFrame, step: int = 1024) -> DataFrame:
 
 def newline_ranks(texts: DataFrame, step: int = 1000) -> DataFrame:
     """file_id, probe, rank: line feeds before each multiple of `step` within the text."""
-    n = F.char_length("text")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / step)), lambda b: F.substring(F.col("text"), (b * step + 1).cast("int"), F.lit(step)))
-    rows = texts.select("file_id", F.posexplode(blocks).alias("b", "part"))
-    counts = rows.select("file_id", "b", (F.char_length("part") - F.char_length(F.replace("part", F.lit("\n"), F.lit("")))).cast("long").alias("k"))
+    rows = texts.select("file_id", F.posexplode(F.concat(slices(F.col("text"), step), F.array(F.lit("")))).alias("b", "part"), F.floor(F.char_length("text") / step).alias("last"))
+    counts = rows.filter("b <= last").select("file_id", "b", (F.char_length("part") - F.char_length(F.replace("part", F.lit("\n"), F.lit("")))).cast("long").alias("k"))
     before = Window.partitionBy("file_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select("file_id", (F.col("b") * step).cast("long").alias("probe"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rank"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import chars
@@ -31,8 +31,6 @@ def search_apart(texts: DataFrame, pattern: str) -> DataFrame:
         return search_all(texts, pattern)
     rows = texts.filter(F.contains("text", F.lit(pattern))).select("file_id", F.split("text", java_quote(pattern)).alias("parts"))
     rows = rows.select("file_id", F.posexplode(F.slice("parts", F.lit(1), F.size("parts") - 1)).alias("k", "part"))
-    from pyspark.sql import Window
-
     upto = Window.partitionBy("file_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("file_id", (F.sum(F.char_length("part")).over(upto) + F.col("k") * len(pattern)).cast("long").alias("pos"))
 
@@ -43,6 +41,15 @@ def count_apart(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("file_id", count.cast("long").alias("cnt"))
 
 
+def search_segments(segments: DataFrame, pattern: str) -> DataFrame:
+    """file_id, block_no, pos: occurrences inside segments (file_id, block_no, seg_start, seg_text) of short factors.
+
+    A longer factor is a piece of the reference and is searched there once, not in every file.
+    """
+    keyed = segments.select(F.struct("file_id", "block_no", "seg_start").alias("file_id"), F.col("seg_text").alias("text"))
+    return search_all(keyed, pattern).select("file_id.file_id", "file_id.block_no", (F.col("file_id.seg_start") + F.col("pos")).alias("pos"))
+
+
 def java_quote(pattern: str) -> str:
     """A regular expression for the pattern's characters."""
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", pattern)

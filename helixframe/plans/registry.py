@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import bits, codecs, text
 from helixframe.operators import blocks, catalog, edit, factorize, lines, range_read, reference, restore, search
 from helixframe.session import table
-from helixframe.sources import config, files
+from helixframe.sources import config, files, mutations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -378,6 +378,11 @@ def segment_index(spark, d):
     return factorize.short_factor_segments(factors(spark, d), seq_blocks(spark, d), 5)
 
 
+@query("search_segments")
+def search_segments(spark, d):
+    return search.search_segments(factorize.short_factor_segments(factors(spark, d), seq_blocks(spark, d), 5), "TACG")
+
+
 @query("text_size", f"WITH {_FASTA} SELECT file_id, length(text) AS n FROM fasta")
 def text_size(spark, d):
     """Sequence, line feeds and headers of the stored parts add up to the text."""
@@ -533,6 +538,28 @@ def partition_sizing(spark, d):
     return docs(spark, d).select("file_id", text.encode_threads(F.char_length("text"), 100).alias("threads"))
 
 
+@query("path_clean", f"WITH {_PATHS} SELECT id, '/' || name || '/x' AS clean FROM (SELECT id, string_split(path, '/')[2] AS name FROM paths)")
+def path_clean(spark, d):
+    """`..` steps go; what they leave are empty steps, which tokens skip."""
+    name = F.get(F.split("path", "/"), F.lit(1))
+    climbing = F.concat(F.lit("/../"), name, F.lit("/../../x"))
+    steps = F.filter(F.split(text.climb_free(climbing), "/"), lambda x: x != "")
+    return paths(spark, d).select("id", F.concat(F.lit("/"), F.array_join(steps, "/")).alias("clean"))
+
+
+@query("open_flags", "SELECT o_orderkey AS id, (o_orderkey & 3) IN (1, 2) AS writes, (o_orderkey & 1024) <> 0 AS appends FROM orders")
+def open_flags(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.wants_write(F.col("o_orderkey")).alias("writes"), text.wants_append(F.col("o_orderkey")).alias("appends"))
+
+
+@query("mutation_file", "SELECT doc_id AS file_id, unnest(range(0, length(text), 97)) AS pos, 'N' AS ch FROM documents")
+def mutation_file(spark, d):
+    """Packed mutation files, read again."""
+    places = docs(spark, d).select("file_id", F.char_length("text").alias("size"), F.when(F.char_length("text") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 97)), lambda k: k * 97)).alias("at"))
+    changes = places.select("file_id", "size", F.explode("at").alias("pos"), F.lit("N").alias("ch"))
+    return mutations.unpack(mutations.pack(changes))
+
+
 @query("size_label", "SELECT id, CASE WHEN n < 1025 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f', floor(n * 100 / 1024.0) / 100) || ' KB' WHEN n < 1073741824 THEN printf('%.2f', floor(n * 100 / 1048576.0) / 100) || ' MB' ELSE printf('%.2f', floor(n * 100 / 1073741824.0) / 100) || ' GB' END AS label FROM (SELECT o_orderkey AS id, o_orderkey * 377 AS n FROM orders)")
 def size_label(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.size_label(F.col("o_orderkey") * 377).alias("label"))

@@ -126,6 +126,26 @@ def test_edits(spark):
     assert {r.file_id: r.text for r in edit.overlay(frame, edit.valid_mutations(changes, sizes)).collect()} == {0: "HellO", 1: "", 2: "a b\nc"}
 
 
+def test_slices(spark):
+    from helixframe.functions.text import slices
+
+    for text in ["", "abc", "abcdefg", "ébcdéfg", "a" * 10]:
+        row = spark.createDataFrame([(text,)], "t string")
+        for size, more in ((3, 0), (3, 2), (10, 1)):
+            got = row.select(slices(row.t, size, more)).first()[0]
+            assert got == [text[k : k + size + more] for k in range(0, len(text), size)]
+
+
+def test_mutation_files(spark):
+    from helixframe.sources import mutations
+
+    good = spark.createDataFrame([(1, bytearray(b"\x05\0\0\0\x01\0\0\0\x04\0\0\0Q"))], "file_id long, content binary")
+    assert [tuple(r) for r in mutations.unpack(good).collect()] == [(1, 4, "Q")]
+    for wrong in (b"\x04\0\0\0\x01\0\0\0\x04\0\0\0Q", b"\x05\0\0\0\x02\0\0\0\x04\0\0\0Q", b"\x09\0\0\0\x02\0\0\0\x04\0\0\0Q\x04\0\0\0R"):
+        with pytest.raises(Exception, match="ValueError"):
+            mutations.unpack(spark.createDataFrame([(1, bytearray(wrong))], "file_id long, content binary")).collect()
+
+
 def test_catalog(spark):
     paths = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/b"), (3, "/ab/c"), (4, "/"), (5, "/a")], "id long, path string")
     routes = spark.createDataFrame([("/a", "r1"), ("/a/b", "r2"), ("/", "root")], "prefix string, ref_id string")

@@ -115,6 +115,13 @@ def test_segments_of_short_factors(spark, blocks):
     assert {tuple(r) for r in QUERIES["segment_index"](spark, SMALL).collect()} == want
 
 
+def test_search_in_segments(spark):
+    want = set()
+    for r in QUERIES["segment_index"](spark, SMALL).collect():
+        want |= {(r.file_id, r.block_no, r.seg_start + m.start()) for m in re.finditer("(?=TACG)", r.seg_text)}
+    assert want and {tuple(r) for r in QUERIES["search_segments"](spark, SMALL).collect()} == want
+
+
 def test_codes(spark):
     rows = {r.codec: r for r in QUERIES["codec_roundtrip"](spark, SMALL).collect()}
     assert len(rows) == 5 and all(r.ok for r in rows.values())
