@@ -60,6 +60,18 @@ def test_mixing_stage(spark, docs):
         assert abs(taken[s] - t) <= largest[s]
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_nulls_and_nothing(spark, stage):
+    edges = spark.createDataFrame(edge_rows(), DOCS)
+    wide = edges.selectExpr("*", "'x' AS size", "1 AS _key", "'y' AS score", "2 AS rep", "3 AS bucket")
+    rows = stage(spark, wide, SMALL)
+    empty = stage(spark, wide.limit(0), SMALL)
+    assert empty.collect() == [] and empty.columns == rows.columns
+    if stage is not corpus_pipeline.encoding_stage:
+        assert rows.columns == wide.columns
+    assert {r.doc_id for r in rows.collect()} <= {r[0] for r in edge_rows()}
+
+
 def test_run(spark):
     frame = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in frame.collect() if any(map(str.isalpha, r.text or ""))]
