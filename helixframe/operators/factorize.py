@@ -1,19 +1,22 @@
 """Greedy factorisation against a reference text, its codes, and decoding.
 
-The one stage that is sequential within a block: each factor is the longest prefix
-of the rest that occurs in the reference, so blocks are the unit of parallelism. The
-reference and its suffix array go to every task as a broadcast of checked size.
+Each factor is the longest prefix of the rest that occurs in the reference: sequential
+within a block, so blocks are the unit of parallelism. A block's factors stay together as
+arrays in one row; coding, decoding and measuring them need no shuffle, and factors()
+gives them as rows. The reference and its suffix array go to every task as a broadcast
+of checked size.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import bits, codecs
@@ -42,13 +45,13 @@ class ReferenceIndex:
     """A reference text with the order of its suffixes; positions may be limited to a range."""
 
     text: str
-    order: list[int] = field(default_factory=list)
+    order: array = field(default_factory=lambda: array("q"))
 
     @classmethod
     def of(cls, text: str, start: int = 0, stop: int | None = None) -> ReferenceIndex:
         order = suffix_array(text)
         inside = (order >= start) & (order < (len(text) if stop is None else stop))
-        return cls(text, order[inside].tolist())
+        return cls(text, array("q", order[inside].astype(np.int64).tobytes()))
 
     def longest(self, text: str, at: int, stop: int) -> tuple[int, int]:
         """Position and length of the longest prefix of text[at:stop]; of several places the first in suffix order."""
@@ -88,51 +91,63 @@ def spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(2 * cores, "file_id", "block_no")
 
 
+ENCODED = "file_id long, block_no int, ref_pos array<long>, len array<long>"
+
+
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    return zip(*(batch[c].to_pylist() for c in columns), strict=True)
+
+
+def _encoded(keys: pa.RecordBatch, positions: list, lengths: list) -> pa.RecordBatch:
+    kind = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([keys["file_id"], keys["block_no"], pa.array(positions, kind), pa.array(lengths, kind)], names=["file_id", "block_no", "ref_pos", "len"])
+
+
 def factorize(blocks: DataFrame, reference: str, ranges: tuple[int, int] | None = None) -> DataFrame:
-    """file_id, block_no, factor_no, ref_pos, len, text_off: factors of each block, in order."""
+    """file_id, block_no, ref_pos, len: the factors of each block (file_id, block_no, text), as arrays.
+
+    ranges limits where in the reference a factor may start.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(ReferenceIndex.of(reference, *(ranges or ())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            files, numbers, positions, lengths, sizes = [], [], [], [], []
-            for f, b, text in zip(batch["file_id"].to_pylist(), batch["block_no"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                p, n = index.factors(text)
-                files.append(f)
-                numbers.append(b)
-                sizes.append(len(p))
-                positions += p
-                lengths += n
-            size = np.array(sizes, np.int64)
-            length = np.array(lengths, np.int64)
-            first = np.cumsum(size) - size
-            ends = np.cumsum(length)
-            starts = ends - length
-            offset = starts - np.repeat(starts[np.minimum(first, len(starts) - 1)] if len(starts) else first, size)
-            columns = [np.repeat(np.array(files, np.int64), size), np.repeat(np.array(numbers, np.int32), size), np.arange(len(length)) - np.repeat(first, size), np.array(positions, np.int64), length, offset]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file_id", "block_no", "factor_no", "ref_pos", "len", "text_off"])
-
-    return spread(blocks.select("file_id", "block_no", "text")).mapInArrow(run, "file_id long, block_no int, factor_no long, ref_pos long, len long, text_off long")
-
-
-def with_validity(factors: DataFrame, min_length: int) -> DataFrame:
+            found = [index.factors(text) for text in batch["text"].to_pylist()]
+            yield _encoded(batch, [p for p, _ in found], [n for _, n in found])
+
+    return spread(blocks.select("file_id", "block_no", "text")).mapInArrow(run, ENCODED)
+
+
+def factors(encoded: DataFrame) -> DataFrame:
+    """file_id, block_no, factor_no, ref_pos, len, text_off: a row for each factor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = [(np.cumsum(n) - n).tolist() for n in (np.array(x, np.int64) for x in batch["len"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offsets, pa.list_(pa.int64()))], names=[*batch.schema.names, "text_off"])
+
+    rows = encoded.select("file_id", "block_no", "ref_pos", "len").mapInArrow(run, f"{ENCODED}, text_off array<long>")
+    rows = rows.select("file_id", "block_no", F.posexplode(F.arrays_zip("ref_pos", "len", "text_off")).alias("factor_no", "f"))
+    return rows.select("file_id", "block_no", F.col("factor_no").cast("long").alias("factor_no"), "f.ref_pos", "f.len", "f.text_off")
+
+
+def with_validity(rows: DataFrame, min_length: int) -> DataFrame:
     """Adds valid: whether a factor is long enough to stand for a match."""
-    return factors.withColumn("valid", F.col("len") >= min_length)
+    return rows.withColumn("valid", F.col("len") >= min_length)
 
 
-def decode(factors: DataFrame, reference: str) -> DataFrame:
+def decode(encoded: DataFrame, reference: str) -> DataFrame:
     """file_id, block_no, text: pieces of the reference, put together in order."""
-    shared = factors.sparkSession.sparkContext.broadcast(reference)
-    grouped = factors.groupBy("file_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("factor_no", "ref_pos", "len"))).alias("f"))
-    flat = grouped.select("file_id", "block_no", F.col("f.ref_pos").alias("p"), F.col("f.len").alias("n"))
+    shared = encoded.sparkSession.sparkContext.broadcast(reference)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref = shared.value
         for batch in batches:
-            texts = ["".join(ref[a : a + m] for a, m in zip(p, n, strict=True)) for p, n in zip(batch["p"].to_pylist(), batch["n"].to_pylist(), strict=True)]
+            texts = ["".join(ref[a : a + m] for a, m in zip(p, n, strict=True)) for p, n in _rows(batch, "ref_pos", "len")]
             yield pa.RecordBatch.from_arrays([batch["file_id"], batch["block_no"], pa.array(texts, pa.string())], names=["file_id", "block_no", "text"])
 
-    return flat.mapInArrow(run, "file_id long, block_no int, text string")
+    return encoded.select("file_id", "block_no", "ref_pos", "len").mapInArrow(run, "file_id long, block_no int, text string")
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:
@@ -141,49 +156,63 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
-def block_widths(factors: DataFrame) -> DataFrame:
+def block_widths(encoded: DataFrame) -> DataFrame:
     """file_id, block_no, n, low, high, width, delta_width: what the position codes of a block need."""
-    rows = factors.groupBy("file_id", "block_no").agg(F.count(F.lit(1)).alias("n"), F.min("ref_pos").alias("low"), F.max("ref_pos").alias("high"))
+    rows = encoded.select("file_id", "block_no", F.size("ref_pos").cast("long").alias("n"), F.array_min("ref_pos").alias("low"), F.array_max("ref_pos").alias("high"))
     return rows.withColumn("width", bits.n_bits(F.col("high"))).withColumn("delta_width", bits.n_bits(F.col("high") - F.col("low")))
 
 
-def encoded_bytes(factors: DataFrame) -> DataFrame:
+def encoded_bytes(encoded: DataFrame) -> DataFrame:
     """file_id, block_no, pos_bytes, len_bytes, bytes_len: sizes of a block's codes, by formula."""
-    rows = factors.groupBy("file_id", "block_no").agg(F.count(F.lit(1)).alias("n"), F.max("ref_pos").alias("high"), F.sum(bits.golomb_bits(F.col("len"))).alias("len_bits"))
-    rows = rows.select("file_id", "block_no", bits.words32(8 + F.col("n") * bits.n_bits(F.col("high"))).alias("pos_bytes"), bits.words32(F.col("len_bits")).alias("len_bytes"))
+    len_bits = F.aggregate("len", F.lit(0).cast("long"), lambda s, n: s + bits.golomb_bits(n))
+    rows = encoded.select("file_id", "block_no", bits.words32(8 + F.size("ref_pos") * bits.n_bits(F.array_max("ref_pos"))).alias("pos_bytes"), bits.words32(len_bits).alias("len_bytes"))
     return rows.withColumn("bytes_len", F.col("pos_bytes") + F.col("len_bytes"))
 
 
-def encode_blocks(factors: DataFrame) -> DataFrame:
+def encode_blocks(encoded: DataFrame) -> DataFrame:
     """file_id, block_no, n, positions, lengths: the codes of each block as bytes."""
-    grouped = factors.groupBy("file_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("factor_no", "ref_pos", "len"))).alias("f"))
-    flat = grouped.select("file_id", "block_no", F.col("f.ref_pos").alias("p"), F.col("f.len").alias("l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, n = ([np.array(x, np.int64) for x in batch[c].to_pylist()] for c in ("p", "l"))
+            p, n = ([np.array(x, np.int64) for x in batch[c].to_pylist()] for c in ("ref_pos", "len"))
             yield pa.RecordBatch.from_arrays(
                 [batch["file_id"], batch["block_no"], pa.array(list(map(len, p)), pa.int64()), pa.array(list(map(codecs.pack_maxbits, p)), pa.binary()), pa.array(list(map(codecs.pack_golomb, n)), pa.binary())],
                 names=["file_id", "block_no", "n", "positions", "lengths"],
             )
 
-    return flat.mapInArrow(run, "file_id long, block_no int, n long, positions binary, lengths binary")
+    return encoded.select("file_id", "block_no", "ref_pos", "len").mapInArrow(run, "file_id long, block_no int, n long, positions binary, lengths binary")
 
 
-def decode_blocks(encoded: DataFrame) -> DataFrame:
-    """The factors of encoded blocks: file_id, block_no, factor_no, ref_pos, len."""
+def decode_blocks(packed: DataFrame) -> DataFrame:
+    """The inverse: file_id, block_no, ref_pos, len."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, b, n, p, l in zip(*(batch[c].to_pylist() for c in ("file_id", "block_no", "n", "positions", "lengths")), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([f] * n, pa.int64()), pa.array([b] * n, pa.int32()), pa.array(np.arange(n)), pa.array(codecs.unpack_maxbits(p, n)), pa.array(codecs.unpack_golomb(l, n))], names=["file_id", "block_no", "factor_no", "ref_pos", "len"])
+            found = [(codecs.unpack_maxbits(p, n), codecs.unpack_golomb(x, n)) for n, p, x in _rows(batch, "n", "positions", "lengths")]
+            yield _encoded(batch, [p for p, _ in found], [n for _, n in found])
 
-    return encoded.mapInArrow(run, "file_id long, block_no int, factor_no long, ref_pos long, len long")
+    return packed.select("file_id", "block_no", "n", "positions", "lengths").mapInArrow(run, ENCODED)
 
 
-def short_factor_segments(factors: DataFrame, blocks: DataFrame, min_length: int) -> DataFrame:
+def short_factor_segments(encoded: DataFrame, reference: str, min_length: int) -> DataFrame:
     """file_id, block_no, seg_start, seg_text: runs of factors shorter than min_length, where matches may hide that no factor holds."""
-    by = Window.partitionBy("file_id", "block_no").orderBy("factor_no")
-    short = factors.filter(F.col("len") < min_length).withColumn("island", F.col("factor_no") - F.row_number().over(by))
-    runs = short.groupBy("file_id", "block_no", "island").agg(F.min("text_off").alias("seg_start"), F.sum("len").alias("n"))
-    return runs.join(blocks.select("file_id", "block_no", "text"), ["file_id", "block_no"]).select("file_id", "block_no", "seg_start", F.substring(F.col("text"), (F.col("seg_start") + 1).cast("int"), F.col("n").cast("int")).alias("seg_text"))
+    shared = encoded.sparkSession.sparkContext.broadcast(reference)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = shared.value
+        for batch in batches:
+            out: list[tuple[int, int, int, str]] = []
+            for f, b, positions, lengths in _rows(batch, "file_id", "block_no", "ref_pos", "len"):
+                at, start, parts = 0, 0, []
+                for p, n in [*zip(positions, lengths, strict=True), (0, min_length)]:
+                    if n < min_length:
+                        start = start if parts else at
+                        parts.append(ref[p : p + n])
+                    elif parts:
+                        out.append((f, b, start, "".join(parts)))
+                        parts = []
+                    at += n
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["file_id", "block_no", "seg_start", "seg_text"])
+
+    return encoded.select("file_id", "block_no", "ref_pos", "len").mapInArrow(run, "file_id long, block_no int, seg_start long, seg_text string")

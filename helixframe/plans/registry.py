@@ -100,10 +100,18 @@ def seq_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.block_split(seqs(spark, d).withColumnRenamed("seq", "text"), BLOCK)
 
 
-def factors(spark: SparkSession, d: str) -> DataFrame:
+def encoded(spark: SparkSession, d: str) -> DataFrame:
     return factorize.factorize(seq_blocks(spark, d), ref_text(spark, d))
 
 
+def any_ref(spark: SparkSession, d: str, stored: DataFrame) -> str:
+    """A reference for texts of any kind: every symbol that occurs or may occur, then the lines of `benchmark`."""
+    symbols = {r["ch"] for r in reference.alphabet_of(stored.select(F.col("seq").alias("text"))).collect()}
+    body = lines.sequence_text(table(spark, d, "benchmark").select(F.col("item_id").alias("file_id"), "text"))
+    parts = body.select(F.lit("ref").alias("ref_id"), F.col("file_id").alias("part_no"), "seq")
+    return reference.collect_reference(reference.build_reference(parts, "".join(sorted(symbols | set(text.alphabet("full"))))))
+
+
 # -- filters ---------------------------------------------------------------------------
 
 
@@ -324,63 +332,63 @@ def ref_prepare(spark, d):
 
 @query("rlz_factorize")
 def rlz_factorize(spark, d):
-    return factors(spark, d)
+    return factorize.factors(encoded(spark, d))
 
 
 @query("rlz_factorize_range")
 def rlz_factorize_range(spark, d):
-    return factorize.factorize(seq_blocks(spark, d), ref_text(spark, d), (reference.PADDING, 1 << 40))
+    return factorize.factors(factorize.factorize(seq_blocks(spark, d), ref_text(spark, d), (reference.PADDING, 1 << 40)))
 
 
 @query("rlz_min_length")
 def rlz_min_length(spark, d):
-    return factorize.with_validity(factors(spark, d), 6)
+    return factorize.with_validity(factorize.factors(encoded(spark, d)), 6)
 
 
 @query("factor_decode", f"WITH {_SEQ}, {_BLOCKS} SELECT file_id, block_no, text FROM blocks")
 def factor_decode(spark, d):
-    return factorize.decode(factors(spark, d), ref_text(spark, d))
+    return factorize.decode(encoded(spark, d), ref_text(spark, d))
 
 
 @query("decode_full", f"WITH {_SEQ} SELECT file_id, seq AS text FROM seq WHERE seq <> ''")
 def decode_full(spark, d):
-    return factorize.join_blocks(factorize.decode(factors(spark, d), ref_text(spark, d)))
+    return factorize.join_blocks(factorize.decode(encoded(spark, d), ref_text(spark, d)))
 
 
 @query("bitpack", f"WITH {_SEQ}, {_BLOCKS} SELECT file_id, block_no, text FROM blocks")
 def bitpack(spark, d):
     """Factors to bytes, bytes to factors, factors to texts."""
-    return factorize.decode(factorize.decode_blocks(factorize.encode_blocks(factors(spark, d))), ref_text(spark, d))
+    return factorize.decode(factorize.decode_blocks(factorize.encode_blocks(encoded(spark, d))), ref_text(spark, d))
 
 
 @query("block_bitwidth")
 def block_bitwidth(spark, d):
-    return factorize.block_widths(factors(spark, d))
+    return factorize.block_widths(encoded(spark, d))
 
 
 @query("block_encoded_bytes")
 def block_encoded_bytes(spark, d):
-    return factorize.encoded_bytes(factors(spark, d))
+    return factorize.encoded_bytes(encoded(spark, d))
 
 
 @query("encoded_size")
 def encoded_size(spark, d):
-    return factorize.encoded_bytes(factors(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("bytes_len").alias("bytes"))
+    return factorize.encoded_bytes(encoded(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("bytes_len").alias("bytes"))
 
 
 @query("encoded_offsets")
 def encoded_offsets(spark, d):
-    return blocks.block_offsets(factorize.encoded_bytes(factors(spark, d)))
+    return blocks.block_offsets(factorize.encoded_bytes(encoded(spark, d)))
 
 
 @query("segment_index")
 def segment_index(spark, d):
-    return factorize.short_factor_segments(factors(spark, d), seq_blocks(spark, d), 5)
+    return factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5)
 
 
 @query("search_segments")
 def search_segments(spark, d):
-    return search.search_segments(factorize.short_factor_segments(factors(spark, d), seq_blocks(spark, d), 5), "TACG")
+    return search.search_segments(factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5), "TACG")
 
 
 @query("text_size", f"WITH {_FASTA} SELECT file_id, length(text) AS n FROM fasta")
@@ -400,9 +408,7 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 @query("range_read", f"WITH {_FASTA} SELECT file_id, k * 2500 AS start, 120 AS len, substring(text, k * 2500 + 1, 120) AS out FROM (SELECT file_id, text, unnest(range(0, length(text) // 2500 + 1)) AS k FROM fasta)")
 def range_read_query(spark, d):
     stored = lines.strip(fasta(spark, d))
-    ref = text.alphabet("full")
-    symbols = reference.alphabet_of(stored.select(F.col("seq").alias("text")))
-    whole = "".join(sorted({*ref, *(r["ch"] for r in symbols.collect())})) + ref_text(spark, d)
+    whole = any_ref(spark, d, stored)
     cut = blocks.block_split(stored.select("file_id", F.col("seq").alias("text")), BLOCK)
     return range_read.range_read(_probes(spark, d), stored.drop("seq"), factorize.factorize(cut, whole), whole, BLOCK)
 
@@ -587,7 +593,6 @@ def store_roundtrip(spark, d):
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/helixframe"
     path = f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
     texts = fasta(spark, d)
-    symbols = reference.alphabet_of(lines.strip(texts).select(F.col("seq").alias("text"))).collect()
-    ref = "".join(sorted({*text.alphabet("full"), *(r["ch"] for r in symbols)})) + ref_text(spark, d)
+    ref = any_ref(spark, d, lines.strip(texts))
     files.save_container(texts, ref, path, BLOCK)
     return files.read_back(spark, path, ref)
