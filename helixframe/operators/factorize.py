@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bits, codecs
 from helixframe.operators.reference import suffix_array
+from helixframe.session import spread
 
 #: Characters of a suffix that are compared first; longer matches look further.
 PROBE = 32
@@ -80,17 +81,6 @@ class ReferenceIndex:
         return positions, lengths
 
 
-def spread(blocks: DataFrame) -> DataFrame:
-    """Blocks over at least as many partitions as there are cores: factorisation costs far more than their shuffle.
-
-    An input that is already in as many parts stays as it is.
-    """
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    if blocks.rdd.getNumPartitions() >= cores:
-        return blocks
-    return blocks.repartition(2 * cores, "file_id", "block_no")
-
-
 ENCODED = "file_id long, block_no int, ref_pos array<long>, len array<long>"
 
 
@@ -116,7 +106,7 @@ def factorize(blocks: DataFrame, reference: str, ranges: tuple[int, int] | None
             found = [index.factors(text) for text in batch["text"].to_pylist()]
             yield _encoded(batch, [p for p, _ in found], [n for _, n in found])
 
-    return spread(blocks.select("file_id", "block_no", "text")).mapInArrow(run, ENCODED)
+    return spread(blocks.select("file_id", "block_no", "text"), "file_id", "block_no").mapInArrow(run, ENCODED)
 
 
 def factors(encoded: DataFrame) -> DataFrame:

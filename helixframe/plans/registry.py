@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bits, codecs, text
 from helixframe.operators import blocks, catalog, edit, factorize, lines, range_read, reference, restore, search
-from helixframe.session import table
+from helixframe.session import spread, table
 from helixframe.sources import config, files, mutations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,12 +75,17 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
 
 
+def wide_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The same for operators that look at every character."""
+    return spread(docs(spark, d), "file_id")
+
+
 def seqs(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("file_id", text.keep_acgt(F.col("text")).alias("seq"))
 
 
 def fasta(spark: SparkSession, d: str) -> DataFrame:
-    return files.as_fasta(table(spark, d, "documents"))
+    return spread(files.as_fasta(table(spark, d, "documents")), "file_id")
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +162,7 @@ def kr_hash(spark, d):
 
 @query("newline_positions", f"WITH {_NL} SELECT file_id, nl_rank, nl_pos FROM nl")
 def newline_positions(spark, d):
-    return lines.newline_positions(docs(spark, d))
+    return lines.newline_positions(wide_docs(spark, d))
 
 
 _DELTAS = f"{_NL}, deltas AS (SELECT file_id, nl_rank AS idx, nl_pos - coalesce(lag(nl_pos) OVER (PARTITION BY file_id ORDER BY nl_pos), 0) AS delta, nl_pos AS restored FROM nl), counts AS (SELECT file_id, delta, count(*) AS cnt FROM deltas GROUP BY ALL), modes AS (SELECT file_id, delta, cnt FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY cnt DESC, delta) AS k FROM counts) WHERE k = 1)"
@@ -165,32 +170,32 @@ _DELTAS = f"{_NL}, deltas AS (SELECT file_id, nl_rank AS idx, nl_pos - coalesce(
 
 @query("delta_codec", f"WITH {_DELTAS} SELECT file_id, idx, delta, restored FROM deltas")
 def delta_codec(spark, d):
-    return lines.newline_deltas(lines.newline_positions(docs(spark, d)))
+    return lines.newline_deltas(lines.newline_positions(wide_docs(spark, d)))
 
 
 @query("newline_mode", f"WITH {_DELTAS} SELECT file_id, delta, cnt FROM modes")
 def newline_mode(spark, d):
-    return lines.newline_mode(lines.newline_deltas(lines.newline_positions(docs(spark, d))))
+    return lines.newline_mode(lines.newline_deltas(lines.newline_positions(wide_docs(spark, d))))
 
 
 @query("newline_exceptions", f"WITH {_DELTAS} SELECT d.file_id, d.idx, d.delta FROM deltas d JOIN modes m ON d.file_id = m.file_id WHERE d.delta <> m.delta")
 def newline_exceptions(spark, d):
-    return lines.newline_exceptions(lines.newline_deltas(lines.newline_positions(docs(spark, d))))
+    return lines.newline_exceptions(lines.newline_deltas(lines.newline_positions(wide_docs(spark, d))))
 
 
 @query("newline_skip", f"WITH {_NL} SELECT file_id, nl_rank, nl_pos FROM nl WHERE nl_rank % 1024 = 0")
 def newline_skip(spark, d):
-    return lines.newline_skips(lines.newline_positions(docs(spark, d)))
+    return lines.newline_skips(lines.newline_positions(wide_docs(spark, d)))
 
 
 @query("newline_rank", f"SELECT file_id, probe, length(p) - length(replace(p, chr(10), '')) AS rank FROM (SELECT doc_id AS file_id, b * {STEP} AS probe, substring(text, 1, b * {STEP}) AS p FROM (SELECT doc_id, text, unnest(range(0, length(text) // {STEP} + 1)) AS b FROM documents))")
 def newline_rank(spark, d):
-    return lines.newline_ranks(docs(spark, d), STEP)
+    return lines.newline_ranks(wide_docs(spark, d), STEP)
 
 
 @query("case_runs", """WITH pieces AS (SELECT file_id, k, s, sum(length(s)) OVER (PARTITION BY file_id ORDER BY k) AS upto FROM (SELECT doc_id AS file_id, generate_subscripts(p, 1) AS k, unnest(p) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+|[^a-z]+') AS p FROM documents))) SELECT file_id, upto - length(s) AS start, upto - 1 AS "end" FROM pieces WHERE regexp_matches(s, '^[a-z]')""")
 def case_runs(spark, d):
-    return lines.case_runs(docs(spark, d))
+    return lines.case_runs(wide_docs(spark, d))
 
 
 @query("fasta_headers", f"WITH {_FASTA}, {_LINES}, {_HEADERS} SELECT * FROM headers")
@@ -296,12 +301,12 @@ def sa_sample(spark, d):
 
 @query("distinct_alphabet", "SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''")
 def distinct_alphabet(spark, d):
-    return reference.alphabet_of(docs(spark, d))
+    return reference.alphabet_of(wide_docs(spark, d))
 
 
 @query("trigram_counts", f"WITH {_SEQ}, p AS (SELECT seq || list_min(string_split(seq, '')) || list_min(string_split(seq, '')) AS s, length(seq) AS n FROM seq WHERE seq <> '') SELECT substring(s, i, 3) AS gram, count(*) AS n FROM (SELECT s, unnest(range(1, n + 1)) AS i FROM p) GROUP BY gram")
 def trigram_counts(spark, d):
-    return reference.gram_counts(seqs(spark, d).select(F.col("seq").alias("text")))
+    return reference.gram_counts(spread(seqs(spark, d), "file_id").select(F.col("seq").alias("text")))
 
 
 _KMERS = f"{_SEQ}, kmers AS (SELECT kmer, count(*) AS cnt, min(file_id * 1000000000 + i - 1) AS first_at FROM (SELECT file_id, i, substring(seq, i, {K}) AS kmer FROM (SELECT file_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM seq)) GROUP BY kmer)"
@@ -309,12 +314,12 @@ _KMERS = f"{_SEQ}, kmers AS (SELECT kmer, count(*) AS cnt, min(file_id * 1000000
 
 @query("kmer_frequency", f"WITH {_KMERS} SELECT * FROM kmers")
 def kmer_frequency(spark, d):
-    return reference.kmer_frequency(seqs(spark, d), K)
+    return reference.kmer_frequency(spread(seqs(spark, d), "file_id"), K)
 
 
 @query("kmer_topk", f"WITH {_KMERS} SELECT * FROM kmers WHERE cnt > 1 ORDER BY cnt DESC, first_at DESC, kmer LIMIT 20")
 def kmer_topk(spark, d):
-    return reference.top_kmers(reference.kmer_frequency(seqs(spark, d), K))
+    return reference.top_kmers(reference.kmer_frequency(spread(seqs(spark, d), "file_id"), K))
 
 
 @query("segment_sample")
@@ -436,7 +441,7 @@ def meta_blocks(spark, d):
 
 @query("search_all", "SELECT doc_id AS file_id, i - 1 AS pos FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text)), lambda i: text[i:i+1] = 'en')) AS i FROM documents)")
 def search_all(spark, d):
-    return search.search_all(docs(spark, d), "en")
+    return search.search_all(wide_docs(spark, d), "en")
 
 
 @query("search_nonoverlap", "SELECT doc_id AS file_id, len(regexp_extract_all(text, 'ere')) AS cnt FROM documents")
@@ -468,7 +473,7 @@ def patch_text(spark, d):
 
 @query("newline_update", f"WITH {_PATCHED} SELECT file_id, sum(n + 1) OVER (PARTITION BY file_id ORDER BY k) - 1 AS nl_pos FROM (SELECT file_id, generate_subscripts(p, 1) AS k, length(unnest(p)) AS n, len(p) AS m FROM (SELECT file_id, string_split(text, chr(10)) AS p FROM patched)) WHERE k < m")
 def newline_update(spark, d):
-    return edit.shifted_newlines(lines.newline_positions(docs(spark, d)), _patches(spark, d))
+    return edit.shifted_newlines(lines.newline_positions(wide_docs(spark, d)), _patches(spark, d))
 
 
 @query("touched_blocks", f"SELECT file_id, unnest(range(a // {BLOCK}, (a + n - 1) // {BLOCK} + 1)) AS block_no FROM (SELECT doc_id AS file_id, length(text) // 2 AS a, 7 + length(doc_id::VARCHAR) AS n FROM documents)")
@@ -484,7 +489,7 @@ def truncate_text(spark, d):
 
 @query("mutation_overlay", "SELECT doc_id AS file_id, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN i % 97 = 1 THEN 'N' ELSE text[i] END), '') AS text FROM documents")
 def mutation_overlay(spark, d):
-    base = docs(spark, d)
+    base = wide_docs(spark, d)
     places = base.select("file_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.char_length("text") / 97)), lambda k: k * 97)).alias("pos")).withColumn("ch", F.lit("N"))
     sizes = base.select("file_id", F.char_length("text").alias("n"))
     return edit.overlay(base, edit.valid_mutations(places, sizes))

@@ -15,3 +15,15 @@ def session(name: str = "helixframe", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that costs far more than a shuffle of its input.
+
+    A small file may be one task, whatever its size in work. An input that is already in as
+    many parts stays as it is; so do all large ones.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores, *keys)
