@@ -8,8 +8,8 @@ the seam outwards; only words with a failing pair are merged exactly.
 
 Texts are first cut at single spaces between two non-blank characters, where the
 tokenizer's own pattern always starts a word. Such chunks repeat, and so do the
-words in them; the ids of both are kept in tables of bounded size in each Python
-worker. The library's own splitter cuts chunks that aren't plain ASCII, as its
+words in them; the ids of both are kept in tables of bounded size while a task
+runs. The library's own splitter cuts chunks that aren't plain ASCII, as its
 character classes belong to a certain version of Unicode.
 
 Defined cases: a null text counts as empty: no tokens, digests of nothing. Empty
@@ -25,6 +25,7 @@ import heapq
 import json
 import struct
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
+from helixframe.llm.common import bound_batches, release_memory, tidy
+
 #: The published split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each generation of a worker's tables, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 #: Texts whose chunks are looked up together.
-TEXTS = 2048
+TEXTS = 512
 NEVER = np.iinfo(np.int64).max
 
 
@@ -95,12 +98,10 @@ class ByteBpe:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # rank of the merge that makes a token (-1: a byte), and the two parts of that merge
         self.rank, self.left, self.right = (np.full(size, -1, np.int64) for _ in range(3))
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         keys, ranks = np.empty(len(merges), np.int64), np.arange(len(merges))
         self.made = np.empty(len(merges), np.int64)
         for r, (a, b) in enumerate(merges):
             x, y, made = vocab[a], vocab[b], vocab[a + b]
-            self.merge[x, y] = (r, made)
             self.made[r] = made
             keys[r] = x << 32 | y
             if self.rank[made] < 0:
@@ -119,9 +120,13 @@ class ByteBpe:
                 self.longest[token[:3]] = max(self.longest.get(token[:3], 0), len(token))
         self.words, self.seams = regex.compile(PATTERN), regex.compile(r"(?<=\S) (?=\S)")
         self.odd_blank = regex.compile(r" \s|\s |^ | $")
-        self.known_words, self.known_heads, self.known_tails = Recent(), Recent(), Recent()
+        self.forget()
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
+    def forget(self) -> None:
+        """Empty tables: a task starts and leaves without them."""
+        self.known_words, self.known_heads, self.known_tails = Recent(), Recent(), Recent()
+
     # -- speculation -------------------------------------------------------------
     def greedy(self, word: bytes) -> list[int]:
         out, at, end = [], 0, len(word)
@@ -206,6 +211,12 @@ class ByteBpe:
             inner = at > 0
             ranks[n[inner], at[inner] - 1] = self._merge_rank(ids[n[inner], at[inner] - 1], ids[n[inner], at[inner]])
 
+    @cached_property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left, right): (rank, token made); only long words ask for it."""
+        order = self.pair_keys.tolist()
+        return {(k >> 32, k & 0xFFFFFFFF): (r, m) for k, r, m in zip(order, self.pair_ranks.tolist(), self.made[self.pair_ranks].tolist(), strict=True)}
+
     def _exact_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list, for words without end."""
         n = len(ids)
@@ -305,6 +316,7 @@ def load(spec: str) -> ByteBpe:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = ByteBpe(spec)
+        release_memory()
     return _LOADED[key]
 
 
@@ -320,11 +332,13 @@ def read_spec(path: str | None = None) -> str:
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) and decoded text."""
+    bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(spec.value)
+        model.forget()
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
@@ -337,5 +351,6 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                 ] + ([pa.array(ids, pa.binary()), pa.array(texts, pa.string())] if with_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        model.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +56,47 @@ def words_of(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def smallest_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """The n rows (of `total`) with the smallest hash of their keys: a bounded sample that any rerun repeats.
+
+    Hashes beyond those of about 2 n rows go before the rows are put in order, so that what
+    tasks send does not grow with their number.
+    """
+    h = F.xxhash64(*keys)
+    if total > 2 * n:
+        df = df.filter(h < F.lit(int(2.0 * n / total * 2**64) - 2**63))
+    return df.orderBy(h, *keys).limit(n)
+
+
+#: Rows of an Arrow batch, unless the session names a number of its own. Spark's default is 10,000.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for whole texts: JVM and Python each hold a few at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow stage that hands its memory back when a task ends: workers live on, and share an executor with what comes next."""
+
+    @wraps(run)
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return stage
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

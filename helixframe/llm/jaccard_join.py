@@ -45,18 +45,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle, workspace
+from helixframe.llm.common import bound_batches, discard, settle, tidy, workspace
 
 WORDS = 5
 #: Cells of the count sketch that orders n-grams, a power of two.
-CELLS = 1 << 20
+CELLS = 1 << 22
 #: 64-bit slots of the bitmap of documents that share a prefix n-gram.
 ID_SLOTS = 1 << 16
 #: Sets in a block, beside the probe.
 BLOCK = 256
 #: Tokens of a tree path that are compared before the bound is looked at again.
 STEP = 128
-WORD_TABLE = 1_000_000
+WORD_TABLE = 300_000
 #: Texts that are hashed together.
 TEXTS = 256
 
@@ -139,7 +139,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's n and digest, and (doc_id null) a task's cell counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         names = ["sketch", "doc_id", "n", "digest", "text_md5"]
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
@@ -150,10 +150,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 md5 = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
                 sizes = pa.array(list(map(len, sets)), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), part["doc_id"], sizes, pa.array(list(map(digest, sets)), pa.binary()), pa.array(md5, pa.string())], names=names)
-        packed = pa.array([zlib.compress(cells.astype(np.uint32).tobytes(), 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum())]), packed, pa.array([None], pa.string())], names=names)
+        _HASHES.clear()
+        packed = pa.array([zlib.compress(cells, 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum(dtype=np.int64))]), packed, pa.array([None], pa.string())], names=names)
 
-    return docs.mapInArrow(run, "sketch boolean, doc_id long, n long, digest binary, text_md5 string")
+    return docs.mapInArrow(tidy(run), "sketch boolean, doc_id long, n long, digest binary, text_md5 string")
 
 
 def _order_classes(signatures: DataFrame) -> np.ndarray:
@@ -167,11 +168,11 @@ def _order_classes(signatures: DataFrame) -> np.ndarray:
         for batch in batches:
             for x in batch["digest"]:
                 total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["digest"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], names=["digest"])
 
     tasks = signatures.filter("sketch").select("digest")
     counts = np.zeros(CELLS, np.int64)
-    for r in tasks.repartition(8).mapInArrow(add, "digest binary").collect():
+    for r in tasks.repartition(8).mapInArrow(tidy(add), "digest binary").collect():
         counts += np.frombuffer(zlib.decompress(r["digest"]), np.int64)
     mean = counts.mean()
     above = np.maximum(counts - mean, 0) / (1.5 * np.sqrt(mean) + 2)
@@ -184,25 +185,27 @@ def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, parts, maps = [], [], [], [], []
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
-                for k, grams in zip(part["doc_id"].to_pylist(), shingle_sets(part["text"].to_pylist()), strict=True):
-                    n = len(grams)
-                    if n:
-                        ids.append(k)
-                        sizes.append(n)
-                        digests.append(digest(grams))
-                        parts.append(in_order(grams, shared.value)[: n - least_shared(n) + 1])
-                        maps.append(parity(grams))
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            tokens = pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
-            map_ends = np.cumsum([0, *map(len, maps)]).astype(np.int32)
-            words = pa.array(np.concatenate(maps) if maps else np.empty(0, np.int64))
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), tokens), pa.ListArray.from_arrays(pa.array(map_ends), words)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "prefix", "parity"])
-
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, parity array<long>")
+                known = [(k, g) for k, g in zip(part["doc_id"].to_pylist(), shingle_sets(part["text"].to_pylist()), strict=True) if len(g)]
+                sets = [g for _, g in known]
+                prefixes = [in_order(g, shared.value)[: len(g) - least_shared(len(g)) + 1] for g in sets]
+                columns = [
+                    pa.array([k for k, _ in known], pa.int64()),
+                    pa.array(list(map(len, sets)), pa.int64()),
+                    pa.array(list(map(digest, sets)), pa.binary()),
+                    _lists([p.view(np.int64) for p in prefixes]),
+                    _lists(list(map(parity, sets))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "prefix", "parity"])
+        _HASHES.clear()
+
+    return docs.filter("doc_id is not null").mapInArrow(tidy(run), "doc_id long, n long, digest binary, prefix array<long>, parity array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -293,10 +296,11 @@ def _join_blocks(rows: DataFrame, classes: np.ndarray) -> DataFrame:
                         ids.append(b)
                         sets.append(in_order(grams, rank))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        _HASHES.clear()
         out = links()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
@@ -363,9 +367,11 @@ def _allowed(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, text_md5."""
     spark = docs.sparkSession
-    folder = folder or workspace(spark, "jaccard")
+    bound_batches(spark)
+    keep = folder or workspace(spark, "jaccard")
+    folder = f"{keep}/work"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(_signatures(docs), folder, "signatures")
+    signed = settle(_signatures(docs), keep, "signatures")
     classes = _order_classes(signed)
     members = signed.filter("not sketch").select("doc_id", "n", "digest", "text_md5")
     reps = settle(members.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), folder, "classes")
@@ -398,7 +404,8 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
         of_rep = reps.select("rep").distinct().join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("comp"))
         label = settle(of_rep.join(joined, F.col("comp") == F.col("_c"), "left").select(F.col("rep").alias("node"), F.coalesce("_l", "comp").alias("label")), folder, "labels")
     final = reps.join(label, F.col("rep") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "rep").alias("label"))
-    final = settle(final, folder, "final")
+    final = settle(final, keep, "final")
+    discard(spark, folder)
     linked = members.join(final, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return linked.select(

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import bound_batches, tidy
+
 DIMS = 512
 SEED = 0x5EED_1A16
 #: Characters that are worked on at once, and cells of a count table.
@@ -133,6 +135,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language names in order, and their prototypes as unit vectors."""
+    bound_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +149,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for name in sorted(total):
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMS, pa.string()), pa.array(range(DIMS), pa.int32()), pa.array(total[name])], names=["lang", "dim", "v"])
 
-    sums = rows.mapInArrow(run, "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(tidy(run), "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():
         found.setdefault(r["lang"], np.zeros(DIMS))[r["dim"]] = r["v"]
@@ -156,6 +159,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The documents with their columns, and the prediction and its score, which replace columns of these names."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in names]
     schema = T.StructType([docs.schema[c] for c in kept]).add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,7 +181,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[
                 score = np.where(has, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(said, pa.string()), pa.array(score)], names=[*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

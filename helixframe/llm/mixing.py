@@ -67,7 +67,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _drawn(docs: DataFrame, quality) -> DataFrame:
-    """_row (all columns), doc_id, source, size, key and bucket of every document."""
+    """_row (all columns), doc_id, source, size, key, bucket and cell (source and bucket) of every document."""
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -75,7 +75,12 @@ def _drawn(docs: DataFrame, quality) -> DataFrame:
         word_count(F.col("text")).alias("size"),
         sampling_key(F.col("doc_id"), quality(F.col("text"))).alias("key"),
     )
-    return rows.withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("int"))
+    return rows.withColumn("cell", _cell())
+
+
+def _cell() -> Column:
+    return F.concat(F.col("bucket").cast("string"), F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")))
 
 
 def mix_rows(docs: DataFrame, quality=text_quality, folder: str | None = None) -> DataFrame:
@@ -91,15 +96,14 @@ def mix_rows(docs: DataFrame, quality=text_quality, folder: str | None = None) -
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     cells = cells.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    cells = settle(cells.withColumnRenamed("source", "_source").withColumnRenamed("bucket", "_bucket"), folder, "plan")
-    joined = rows.join(cells, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_bucket")
-    # the window has work only where the budget ends; elsewhere a document is in or out by its bucket
+    cells = settle(cells.withColumn("cell", _cell()).drop("source", "bucket"), folder, "plan")
+    joined = rows.join(cells, "cell")
+    # the order within a cell only matters where the budget ends; elsewhere a document is in or out by its cell
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
-    whole = joined.filter(~edge).withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    cut = joined.filter(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead)))
-    return whole.unionByName(cut)
+    whole = F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(F.lit(0))
+    return joined.withColumn("part", F.when(edge, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))).otherwise(whole))
 
 
 def mix(docs: DataFrame, quality=text_quality, folder: str | None = None) -> DataFrame:

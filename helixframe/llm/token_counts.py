@@ -28,9 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import bound_batches, tidy
+
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-TABLE = 1_000_000
+TABLE = 500_000
 LONGEST_KEPT = 64
 
 
@@ -110,6 +112,7 @@ class CountingViterbi:
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, score (of the best path)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces() if pieces is None else pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,4 +122,4 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]] | None = None)
             found = model.count([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _ in found], pa.int64()), pa.array(np.array([s for _, s in found], float))], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, score double")
