@@ -163,16 +163,20 @@ def _order_classes(signatures: DataFrame) -> np.ndarray:
     Any such table gives a right order; a good one puts n-grams of many documents last.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for x in batch["digest"]:
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], names=["digest"])
-
-    tasks = signatures.filter("sketch").select("digest")
+    def sum_of(kind: type):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(CELLS, np.int64)
+            for batch in batches:
+                for x in batch["digest"]:
+                    total += np.frombuffer(zlib.decompress(x.as_py()), kind)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], names=["digest"])
+
+        return tidy(add)
+
+    # tasks' cells are added in parts and then to one row, all that comes to the driver
+    parts = signatures.filter("sketch").select("digest").repartition(8).mapInArrow(sum_of(np.uint32), "digest binary")
     counts = np.zeros(CELLS, np.int64)
-    for r in tasks.repartition(8).mapInArrow(tidy(add), "digest binary").collect():
+    for r in parts.repartition(1).mapInArrow(sum_of(np.int64), "digest binary").collect():
         counts += np.frombuffer(zlib.decompress(r["digest"]), np.int64)
     mean = counts.mean()
     above = np.maximum(counts - mean, 0) / (1.5 * np.sqrt(mean) + 2)
