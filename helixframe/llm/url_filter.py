@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ascii_lower
+from helixframe.llm.common import ascii_lower, settle, smallest_hashes, workspace
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -157,18 +157,20 @@ def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def train(rows: DataFrame) -> Boosted:
-    """Fits SAMPLE labelled rows at most, those with the smallest hash of their url."""
-    labelled = rows.filter("rule_verdict is not null").withColumn("_h", F.xxhash64("url"))
-    taken = labelled.select("_h", "url", (F.col("rule_verdict") == "block").cast("int").alias("y"), *FEATURES).orderBy("_h", "url", *FEATURES).limit(SAMPLE).drop("_h", "url").collect()
+def train(rows: DataFrame, total: int) -> Boosted:
+    """Fits SAMPLE of the `total` labelled rows at most, those with the smallest hash of their url."""
+    labelled = rows.filter("rule_verdict is not null").select("url", (F.col("rule_verdict") == "block").cast("int").alias("y"), *FEATURES)
+    taken = smallest_hashes(labelled, SAMPLE, total, "url").drop("url").collect()
     table = np.array([tuple(r) for r in taken], float).reshape(len(taken), len(FEATURES) + 1)
     return fit(table[:, 1:], table[:, 0])
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, folder: str | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (probability of a block)."""
     rows = with_rule(lexical(pages), RULES if rules is None else rules)
-    rows = with_suffix(rows, suffix_statistics(rows))
-    judged = rows.withColumn("score", train(rows).column())
+    stats = settle(suffix_statistics(rows), folder or workspace(pages.sparkSession, "urls"), "suffixes")
+    total = stats.agg(F.sum("known").alias("n")).first()["n"] or 0
+    rows = with_suffix(rows, stats)
+    judged = rows.withColumn("score", train(rows, total).column())
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
