@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle, workspace
+from helixframe.llm.common import bound_batches, settle, smallest_hashes, tidy, workspace
 
 LABELLED, POOL, SURE, ROUNDS = 6_000, 6_000, 300, 4
 CONFIDENT = 0.95
@@ -138,7 +138,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, unseen: np.nda
 def _sample(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     """doc_id and quality (null: pool) of the documents used for fitting; LABELLED + POOL rows at most."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    first = lambda df, n: smallest_hashes(df, n, df.count(), "doc_id")
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
     pool = first(ids.join(known.select("doc_id"), "doc_id", "left_anti"), POOL).withColumn("quality", F.lit(None).cast("int"))
     return settle(first(known.select("doc_id", F.col("quality").cast("int").alias("quality")), LABELLED).unionByName(pool), folder, "sample")
@@ -146,6 +146,7 @@ def _sample(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, text_score, metadata_score, score, kept."""
+    bound_batches(docs.sparkSession)
     folder = folder or workspace(docs.sparkSession, "co-training")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
@@ -158,7 +159,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, folder: str | None =
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], names=["doc_id", "quality", "text", "meta"])
 
     chosen = docs.join(F.broadcast(_sample(docs, labels, folder)), "doc_id")
-    rows = chosen.mapInArrow(gather, "doc_id long, quality int, text binary, meta binary").collect()
+    rows = chosen.mapInArrow(tidy(gather), "doc_id long, quality int, text binary, meta binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["meta"]))
     stack = lambda some, c: np.frombuffer(b"".join(r[c] for r in some), np.float32).reshape(len(some), -1) if some else np.zeros((0, 1), np.float32)
     labelled, pool = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
@@ -181,4 +182,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, folder: str | None =
                     parts = [1 / (1 + np.exp(-logit(text, fitted.text))), 1 / (1 + np.exp(-logit(meta, fitted.meta))), p, p >= fitted.threshold]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *map(pa.array, parts)], names=["doc_id", "text_score", "metadata_score", "score", "kept"])
 
-    return docs.mapInArrow(score, "doc_id long, text_score double, metadata_score double, score double, kept boolean")
+    return docs.mapInArrow(tidy(score), "doc_id long, text_score double, metadata_score double, score double, kept boolean")
