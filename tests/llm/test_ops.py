@@ -289,6 +289,17 @@ def test_url_reruns_agree(spark):
     assert one == two
 
 
+def test_bounded_sample_is_the_plain_one(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.llm.common import smallest_hashes
+
+    rows = spark.range(5000).withColumnRenamed("id", "k")
+    want = [r.k for r in rows.orderBy(F.xxhash64("k")).limit(100).collect()]
+    assert [r.k for r in smallest_hashes(rows, 100, 5000, "k").collect()] == want
+    assert smallest_hashes(rows, 6000, 5000, "k").count() == 5000
+
+
 # -- 5 ----------------------------------------------------------------------------------
 
 
