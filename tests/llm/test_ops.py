@@ -242,6 +242,33 @@ def test_ratio_tells_junk(spark):
     assert not junk or np.mean(junk) < np.mean(good)
 
 
+def test_junk_past_the_base_rules_goes(spark):
+    """Most labelled junk is dropped, and good documents whose labels are hidden stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    for hidden in (lambda k: False, lambda k: zlib.crc32(str(k).encode()) % 3 == 0):
+        shown = [(k, q) for k, q in known.items() if not hidden(k)]
+        found = [r for r in quality_rules.quality_rules(docs, spark.createDataFrame(shown, "doc_id long, quality int")).collect() if not r.base_failed and r.doc_id in known]
+        assert np.mean([r.kept for r in found if known[r.doc_id] == 0]) < 0.1
+        assert np.mean([r.kept for r in found if known[r.doc_id] == 1]) > 0.97
+        assert np.mean([r.kept for r in found if known[r.doc_id] == 1 and hidden(r.doc_id)] or [1]) > 0.97
+
+
+def test_unseen_score_leaves_a_document_out(spark):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b d"), (3, "e f"), (4, "")], "doc_id long, text string")
+    trusted = spark.createDataFrame([(1, True), (2, True), (4, True)], "doc_id long, trusted boolean")
+
+    def model(trusted, name):
+        ratio = sorted(quality_rules.fit_ratio(docs, trusted, quality_rules.workspace(spark, name)).collect())
+        return quality_rules.as_constant([r.llr for r in ratio]), [r.n_target for r in ratio]
+
+    words = docs.select("doc_id", quality_rules.words_of(docs.text).alias("w"))
+    unseen = {r.doc_id: r.score for r in quality_rules.with_unseen_score(words, *model(trusted, "all")).collect()}
+    for k in (1, 2, 4):
+        without = quality_rules.with_score(words, model(trusted.filter(f"doc_id != {k}"), "less")[0])
+        assert unseen[k] == pytest.approx({r.doc_id: r.score for r in without.collect()}[k], abs=1e-4)
+
+
 def test_no_labels_keep(spark, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(edges, none).collect())
