@@ -41,13 +41,27 @@ def count_apart(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("file_id", count.cast("long").alias("cnt"))
 
 
-def search_segments(segments: DataFrame, pattern: str) -> DataFrame:
+def join_segments(segments: DataFrame, size: int) -> DataFrame:
+    """file_id, seg_start, seg_text: segments of blocks of `size` characters in the file's coordinates, those that meet at a border joined."""
+    rows = segments.select("file_id", (F.col("block_no").cast("long") * size + F.col("seg_start")).alias("seg_start"), "seg_text")
+    ordered = Window.partitionBy("file_id").orderBy("seg_start")
+    apart = F.col("seg_start") != F.lag(F.col("seg_start") + F.char_length("seg_text")).over(ordered)
+    rows = rows.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("long"))
+    rows = rows.withColumn("run", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("seg_start", "seg_text")))
+    joined = rows.groupBy("file_id", "run").agg(F.min("seg_start").alias("seg_start"), F.array_join(F.transform(parts, lambda x: x["seg_text"]), "").alias("seg_text"))
+    return joined.select("file_id", "seg_start", "seg_text")
+
+
+def search_segments(segments: DataFrame, pattern: str, size: int) -> DataFrame:
     """file_id, block_no, pos: occurrences inside segments (file_id, block_no, seg_start, seg_text) of short factors.
 
-    A longer factor is a piece of the reference and is searched there once, not in every file.
+    Segments go on across the borders of blocks of `size` characters; block_no and pos are where an
+    occurrence starts. A longer factor is a piece of the reference and is searched there once, not in every file.
     """
-    keyed = segments.select(F.struct("file_id", "block_no", "seg_start").alias("file_id"), F.col("seg_text").alias("text"))
-    return search_all(keyed, pattern).select("file_id.file_id", "file_id.block_no", (F.col("file_id.seg_start") + F.col("pos")).alias("pos"))
+    keyed = join_segments(segments, size).select(F.struct("file_id", "seg_start").alias("file_id"), F.col("seg_text").alias("text"))
+    found = search_all(keyed, pattern).select("file_id.file_id", (F.col("file_id.seg_start") + F.col("pos")).alias("at"))
+    return found.select("file_id", F.floor(F.col("at") / size).cast("int").alias("block_no"), (F.col("at") % size).alias("pos"))
 
 
 def java_quote(pattern: str) -> str:

@@ -393,7 +393,7 @@ def segment_index(spark, d):
 
 @query("search_segments")
 def search_segments(spark, d):
-    return search.search_segments(factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5), "TACG")
+    return search.search_segments(factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5), "TACG", BLOCK)
 
 
 @query("text_size", f"WITH {_FASTA} SELECT file_id, length(text) AS n FROM fasta")

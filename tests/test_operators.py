@@ -1,6 +1,8 @@
 """Edge cases and round trips of the sequence-text operators."""
 
 import random
+import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 
 from helixframe.functions import codecs
 from helixframe.operators import blocks, catalog, edit, lines, range_read, reference, restore, search
-from helixframe.operators.factorize import ReferenceIndex, common_prefix, factorize
+from helixframe.operators.factorize import ReferenceIndex, common_prefix, factorize, short_factor_segments
 from helixframe.operators.restore import Layout
 from helixframe.sources import config, files
 
@@ -114,6 +116,31 @@ def test_search(spark):
     assert search.search_all(frame, "much longer than any text").count() == 0
 
 
+def test_segments_go_on_across_blocks(spark):
+    """Against runs over the whole file; one covers a block, others end at a border or before it."""
+    size, least, ref = 10, 4, "ACGTTGCA"
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (95, 30, 7, 10)] + ["ACGTTGTACGTATATATATATATAACGTTG", "", "ACGTTGCAAC"]
+    frame = table(spark, texts)
+    encoded = factorize(blocks.block_split(frame, size), ref).localCheckpoint()
+    runs = defaultdict(str)
+    for file_id, text in enumerate(texts):
+        short = ["|"] * len(text)
+        for r in encoded.filter(f"file_id = {file_id}").collect():
+            at = r.block_no * size
+            for n in r.len:
+                if n < least:
+                    short[at : at + n] = text[at : at + n]
+                at += n
+        runs[file_id] = "".join(short)
+    segments = short_factor_segments(encoded, ref, least)
+    for pattern in ("TA", "GT", "TAT", "TATATATATATA"):
+        want = {(k, m.start() // size, m.start() % size) for k, run in runs.items() for m in re.finditer(f"(?={pattern})", run)}
+        got = [tuple(r) for r in search.search_segments(segments, pattern, size).collect()]
+        assert want and len(got) == len(want) and set(got) == want
+    assert any(p + 12 > size for _, _, p in want)
+
+
 def test_edits(spark):
     frame = table(spark, ["hello", "", "a\nb\nc"])
     patches = spark.createDataFrame([(0, 3, "XYZ"), (1, 2, "q"), (2, 1, "--\n")], "file_id long, at int, new string")
