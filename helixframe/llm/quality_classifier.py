@@ -12,8 +12,8 @@ fitted weights have a fixed size. All documents are scored, whole texts read.
 
 Defined cases: a null text counts as empty; null source or language are values of their
 own; a null doc_id is never used for fitting. Without both classes among the labels the
-score is 0.5 and all is kept. Repeated rows come back as often as they came; empty
-tables give empty results; further columns are ignored.
+score is 0.5 and all is kept. Of rows that share a doc_id one is learned from. Repeated
+rows come back as often as they came; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bound_batches, settle, smallest_hashes, tidy, workspace
+from helixframe.llm.common import bound_batches, discard, settle, smallest_hashes, tidy, workspace
 
 LABELLED, POOL, SURE, ROUNDS = 6_000, 6_000, 300, 4
 CONFIDENT = 0.95
@@ -138,7 +138,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, unseen: np.nda
 def _sample(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     """doc_id and quality (null: pool) of the documents used for fitting; LABELLED + POOL rows at most."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    first = lambda df, n: smallest_hashes(df, n, df.count(), "doc_id")
+    first = lambda df, n: smallest_hashes(df, n, df.count(), "doc_id", unique=True)
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
     pool = first(ids.join(known.select("doc_id"), "doc_id", "left_anti"), POOL).withColumn("quality", F.lit(None).cast("int"))
     return settle(first(known.select("doc_id", F.col("quality").cast("int").alias("quality")), LABELLED).unionByName(pool), folder, "sample")
@@ -147,7 +147,7 @@ def _sample(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
 def quality_classifier(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, text_score, metadata_score, score, kept."""
     bound_batches(docs.sparkSession)
-    folder = folder or workspace(docs.sparkSession, "co-training")
+    given, folder = folder, folder or workspace(docs.sparkSession, "co-training")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
     def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +159,17 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, folder: str | None =
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], names=["doc_id", "quality", "text", "meta"])
 
     chosen = docs.join(F.broadcast(_sample(docs, labels, folder)), "doc_id")
+    # a doc_id may repeat, one of them in most rows: one row of each is learned from
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang", "n_chars"))
+    chosen = chosen.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").drop("_turn")
     rows = chosen.mapInArrow(tidy(gather), "doc_id long, quality int, text binary, meta binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["meta"]))
     stack = lambda some, c: np.frombuffer(b"".join(r[c] for r in some), np.float32).reshape(len(some), -1) if some else np.zeros((0, 1), np.float32)
     labelled, pool = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
     y = np.array([float(r["quality"] > 0) for r in labelled])
     unseen = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in labelled], bool)
+    if given is None:
+        discard(docs.sparkSession, folder)
     model = co_train((stack(labelled, "text"), stack(labelled, "meta")), y, unseen, (stack(pool, "text"), stack(pool, "meta"))) if labelled and pool else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

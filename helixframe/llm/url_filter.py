@@ -158,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 
 def train(rows: DataFrame, total: int) -> Boosted:
-    """Fits SAMPLE of the `total` labelled rows at most, those with the smallest hash of their url."""
+    """Fits SAMPLE different urls of the `total` labelled rows at most, those with the smallest hash."""
     labelled = rows.filter("rule_verdict is not null").select("url", (F.col("rule_verdict") == "block").cast("int").alias("y"), *FEATURES)
     taken = smallest_hashes(labelled, SAMPLE, total, "url").drop("url").collect()
     table = np.array([tuple(r) for r in taken], float).reshape(len(taken), len(FEATURES) + 1)
