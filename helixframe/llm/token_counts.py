@@ -105,7 +105,8 @@ class CountingViterbi:
             for w in set(words).difference(known):
                 (known if len(w) <= LONGEST_KEPT else long)[w] = self.best(w)
             # both parts are whole numbers, so one sum carries the two exactly
-            total = sum(map((known | long).__getitem__ if long else known.__getitem__, words), 0j)
+            of = (lambda w, long=long: long[w] if w in long else known[w]) if long else known.__getitem__
+            total = sum(map(of, words), 0j)
             out.append((int(total.imag), total.real))
         return out
 
