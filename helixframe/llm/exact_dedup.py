@@ -1,14 +1,16 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
-* Memtables: every input partition is one. It sorts its (digest, doc_id, chars)
-  rows and flushes them as one run, a Parquet file sorted by digest with a Bloom
-  filter and min/max statistics on it.
-* Compaction merges the runs by digest and keeps counts. Digests met twice give
-  the merge filter, a bitmap of fixed size, which the second scan consults: only
-  texts that it lets through (all real hits, and a few others) go on.
+* Memtables: every input partition is one. It sorts its (digest, doc_id, chars) rows
+  by digest and flushes them as a run, a Parquet file.
+* Compaction merges the runs by digest into one sorted run, which keeps of each digest the
+  best row (most code points, then the smallest identifier) and how many rows it has. Runs of later batches are merged with it in the same way: add() and compact().
+* The compacted run's filter is a bitmap of its digests that were met twice or more, sized
+  by their number. The second scan consults it: only texts that it lets through (all
+  real hits, and few others) go on.
 * Byte verification: those texts are grouped by digest *and* whole normalised
   text, so that equality is equality of bytes. Tasks combine before the shuffle, so
-  that a group with a third of all rows arrives as one row from each task.
+  that a group with a third of all rows arrives as one row from each task. Only what is
+  verified leaves the index; digests whose texts differ are told apart by their texts.
 
 Defined cases: a null text counts as empty; empty texts form one group. A null
 doc_id sorts after all others. Of rows that repeat with the same doc_id and text,
@@ -19,14 +21,13 @@ are ignored. Texts with equal digests and unlike bytes stay apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import settle, workspace
+from helixframe.llm.common import bitmap, in_bitmap, settle, slots_for, workspace
 
-#: Slots of 64 bits in the merge filter: at most this many rows are broadcast.
-FILTER_SLOTS = 1 << 16
 #: Larger than any bigint: stands for a null doc_id.
 NO_ID = "9300000000000000000"
 STEP = "100000000000000000000"
@@ -56,64 +57,63 @@ class DigestIndex:
     """The runs of one corpus, in a folder of the shared store."""
 
     def __init__(self, folder: str, digest: Callable[[Column], Column] = sha256):
-        self.folder, self.digest = folder, digest
+        self.folder, self.digest, self.runs, self.level = folder, digest, [], 0
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """doc_id, chars, norm and digest of every document."""
         base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), normalise(F.col("text")).alias("norm"))
         return base.withColumn("digest", self.digest(F.col("norm")))
 
-    def flush(self, docs: DataFrame) -> DataFrame:
-        runs = self.rows(docs).select("digest", "doc_id", "chars").sortWithinPartitions("digest")
-        path = f"{self.folder}/runs"
-        runs.write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 20)).parquet(path)
-        return docs.sparkSession.read.schema(runs.schema).parquet(path)
-
-    @staticmethod
-    def merge_filter(runs: DataFrame) -> DataFrame:
-        """slot, bits: a bit for each digest that the merged runs hold twice or more. At most FILTER_SLOTS rows."""
-        twice = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        at = twice.select(F.xxhash64("digest").alias("h"))
-        return at.groupBy(_slot(F.col("h")).alias("slot")).agg(F.bit_or(_bit(F.col("h"))).alias("bits"))
-
-    def hits(self, docs: DataFrame, merged: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Flushes a batch's memtables as sorted runs (digest, doc_id, chars) and returns them."""
+        rows = self.rows(docs).select("digest", "doc_id", "chars").sortWithinPartitions("digest")
+        self.runs.append(settle(rows, self.folder, f"runs-{len(self.runs)}"))
+        return self.runs[-1]
+
+    def compact(self, older: DataFrame | None = None) -> DataFrame:
+        """Merges all runs, and an older compacted run, into one in order of digest: digest, n, top (the best row's rank)."""
+        fresh = [r.select("digest", F.lit(1).cast("long").alias("n"), _rank(F.col("chars"), F.col("doc_id")).alias("top")) for r in self.runs]
+        every = reduce(DataFrame.unionByName, [*fresh, *([older] if older is not None else [])])
+        merged = every.groupBy("digest").agg(F.sum("n").alias("n"), F.max("top").alias("top")).sortWithinPartitions("digest")
+        self.level += 1
+        return settle(merged, self.folder, f"level-{self.level}")
+
+    def filter_of(self, compacted: DataFrame) -> tuple[DataFrame, int]:
+        """The bitmap of the digests that a compacted run holds twice or more, and its slots."""
+        hashes = compacted.filter("n > 1").select(F.xxhash64("digest").alias("h"))
+        slots = slots_for(hashes.count())
+        return settle(bitmap(hashes, slots), self.folder, f"filter-{self.level}"), slots
+
+    def hits(self, docs: DataFrame, compacted: DataFrame) -> DataFrame:
         """Rows whose digest may be there twice, with their normalised text."""
-        rows = self.rows(docs).withColumn("h", F.xxhash64("digest")).withColumn("slot", _slot(F.col("h")))
-        met = rows.join(F.broadcast(merged), "slot")
-        return met.filter(F.col("bits").bitwiseAND(_bit(F.col("h"))) != 0).select("digest", "norm", "chars", "doc_id")
+        rows = self.rows(docs).select("digest", "norm", "chars", "doc_id")
+        return in_bitmap(rows, F.xxhash64("digest"), *self.filter_of(compacted))
 
-    def verified(self, docs: DataFrame, merged: DataFrame) -> DataFrame:
+    @staticmethod
+    def verified(hits: DataFrame) -> DataFrame:
         """A row for each group of two or more byte-equal normalised texts: digest, norm, group_size, top."""
-        rows = self.hits(docs, merged).withColumn("rank", _rank(F.col("chars"), F.col("doc_id")))
+        rows = hits.withColumn("rank", _rank(F.col("chars"), F.col("doc_id")))
         groups = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("top"))
         return groups.filter("group_size > 1")
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_SLOTS - 1))
-
-
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    index = DigestIndex(folder or workspace(spark, "lsm"), digest)
-    runs = index.flush(docs)
-    merged = settle(index.merge_filter(runs), index.folder, "filter")
-    groups = index.verified(docs, merged)
-    slim = settle(groups.select("digest", F.sha2("norm", 512).alias("norm_key"), "group_size", "top"), index.folder, "groups")
-    apart = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    true_digest = digest is sha256
-    if apart or not true_digest:
+    index = DigestIndex(folder or workspace(docs.sparkSession, "lsm"), digest)
+    runs = index.add(docs)
+    compacted = index.compact()
+    hits = index.hits(docs, compacted)
+    checked = settle(index.verified(hits).select("digest", "group_size", F.col("top").alias("checked")), index.folder, "verified")
+    # what the index holds twice or more must be what the bytes say: the same rows under the same best one
+    listed = compacted.filter("n > 1")
+    unlike = listed.join(checked, (listed.digest == checked.digest) & (listed.n == checked.group_size) & (listed.top == checked.checked), "left_anti")
+    if digest is not sha256 or unlike.limit(1).count():
         # Unlike texts share a digest: the texts themselves decide, row by row.
         rows = index.rows(docs).select("doc_id", "chars", "digest", "norm", F.sha2("norm", 256).alias("text_sha256"))
-        joined = rows.join(index.verified(docs, merged), ["digest", "norm"], "left").drop("norm")
+        joined = rows.join(index.verified(hits), ["digest", "norm"], "left").drop("norm")
     else:
         rows = runs.select("doc_id", "chars", "digest", F.lower(F.hex("digest")).alias("text_sha256"))
-        joined = rows.join(slim.drop("norm_key"), "digest", "left")
+        joined = rows.join(listed.select("digest", F.col("n").alias("group_size"), "top"), "digest", "left")
     ranked = joined.withColumn("first", F.col("top").isNull() | (F.col("top") == _rank(F.col("chars"), F.col("doc_id"))))
     once = Window.partitionBy("text_sha256", "doc_id", "chars").orderBy("first")
     return ranked.withColumn("turn", F.row_number().over(once)).select(
