@@ -3,10 +3,11 @@
 Documents are sets of hashed word 5-grams. Two link if their Jaccard similarity is
 0.8 or more; the result is each document's component.
 
-1. Documents with the same set form a class (by a 128-bit digest of the set); one
-   of them, the smallest doc_id, goes on.
+1. Documents with the same set form a class (by a 128-bit digest of the set). A class has a
+   number of its own, `rep`; the text of its document with the smallest doc_id goes on.
 2. Global order of n-grams: by how often their cell of a count sketch over *all*
-   documents was met, then by hash: rare ones first. The sketch has a fixed size.
+   documents was met, then by hash: rare ones first. The sketch has a fixed size; tasks'
+   counts are added in SHARDS ranges of cells.
 3. Linked sets share an n-gram among the first n - ceil(0.8 n) + 1 of either. These
    (n-gram, document) rows meet in a shuffle; n-grams of one document go.
 4. Stars: each shared n-gram proposes its smallest document with each other one, not
@@ -21,15 +22,15 @@ Documents are sets of hashed word 5-grams. Two link if their Jaccard similarity
    joined in the same way. No pair that can link is left out, and members of
    one component are never paired again.
 
-Texts reach the blocks through shuffles; broadcasts are the order's cells and a
-bitmap of ids, both of fixed size. Stars of a hot document are cut into blocks of
+Texts reach the blocks through shuffles; broadcasts are the order's cells, of fixed size, and a
+bitmap of ids, of bounded size. Stars of a hot document are cut into blocks of
 BLOCK sets.
 
 Defined cases: a null or blank text has the empty set and links with nothing. With
 1 to 4 words the whole sequence is the one n-gram. Rows with a null doc_id are
 returned with a null component and link with nothing. Repeated rows are in the same class.
-Rows that share a doc_id and differ in text each follow their own text. Empty
-tables give empty results; further columns are ignored.
+Rows that share a doc_id and differ in text each follow their own text, as classes have
+numbers apart from doc_ids. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bound_batches, discard, settle, tidy, workspace
+from helixframe.llm.common import bitmap, bound_batches, discard, in_bitmap, settle, slots_for, tidy, workspace
 
 WORDS = 5
 #: Cells of the count sketch that orders n-grams, a power of two.
 CELLS = 1 << 22
-#: 64-bit slots of the bitmap of documents that share a prefix n-gram.
-ID_SLOTS = 1 << 16
+#: Ranges of cells in which the sketch is added up.
+SHARDS = 64
 #: Sets in a block, beside the probe.
 BLOCK = 256
 #: Tokens of a tree path that are compared before the bound is looked at again.
@@ -136,11 +137,11 @@ def needed(a: int, b: int) -> int:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's n and digest, and (doc_id null) a task's cell counts."""
+    """Rows of two kinds: a document's n and digest (shard -1), and a task's cell counts, a row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
-        names = ["sketch", "doc_id", "n", "digest", "text_md5"]
+        names = ["shard", "doc_id", "n", "digest", "text_md5"]
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
@@ -149,38 +150,55 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 np.add.at(cells, cell_of(np.concatenate(sets)), 1)
                 md5 = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
                 sizes = pa.array(list(map(len, sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), part["doc_id"], sizes, pa.array(list(map(digest, sets)), pa.binary()), pa.array(md5, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(sets), pa.int32()), part["doc_id"], sizes, pa.array(list(map(digest, sets)), pa.binary()), pa.array(md5, pa.string())], names=names)
         _HASHES.clear()
-        packed = pa.array([zlib.compress(cells, 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([int(cells.sum(dtype=np.int64))]), packed, pa.array([None], pa.string())], names=names)
+        parts = cells.reshape(SHARDS, -1)
+        packed = pa.array([zlib.compress(x, 1) for x in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([None] * SHARDS, pa.int64()), pa.array(parts.sum(axis=1, dtype=np.int64)), packed, pa.array([None] * SHARDS, pa.string())], names=names)
 
-    return docs.mapInArrow(tidy(run), "sketch boolean, doc_id long, n long, digest binary, text_md5 string")
+    return docs.mapInArrow(tidy(run), "shard int, doc_id long, n long, digest binary, text_md5 string")
 
 
 def _order_classes(signatures: DataFrame) -> np.ndarray:
     """The order's class of each cell: 0 for a usual count, then one more for each doubling of what is above it.
 
-    Any such table gives a right order; a good one puts n-grams of many documents last.
+    Any such table gives a right order; a good one puts n-grams of many documents last. A
+    shard's counts meet in one task, a batch at a time; only its classes reach the driver, CELLS bytes in all.
     """
+    sketches = signatures.filter("shard >= 0")
+    mean = float(sketches.agg(F.sum("n").alias("n")).first()["n"] or 0) / CELLS
 
-    def sum_of(kind: type):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(CELLS, np.int64)
-            for batch in batches:
-                for x in batch["digest"]:
-                    total += np.frombuffer(zlib.decompress(x.as_py()), kind)
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], names=["digest"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, packed in zip(batch["shard"].to_pylist(), batch["digest"], strict=True):
+                counts = total.setdefault(shard, np.zeros(CELLS // SHARDS, np.int64))
+                counts += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+        for shard, counts in total.items():
+            above = np.maximum(counts - mean, 0) / (1.5 * np.sqrt(mean) + 2)
+            classes = np.where(above > 1, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(classes, 1)], pa.binary())], names=["shard", "classes"])
+
+    out = np.zeros((SHARDS, CELLS // SHARDS), np.uint8)
+    for r in sketches.select("shard", "digest").repartition(SHARDS, "shard").mapInArrow(tidy(add), "shard int, classes binary").collect():
+        out[r["shard"]] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
+    return out.ravel()
 
-        return tidy(add)
 
-    # tasks' cells are added in parts and then to one row, all that comes to the driver
-    parts = signatures.filter("sketch").select("digest").repartition(8).mapInArrow(sum_of(np.uint32), "digest binary")
-    counts = np.zeros(CELLS, np.int64)
-    for r in parts.repartition(1).mapInArrow(sum_of(np.int64), "digest binary").collect():
-        counts += np.frombuffer(zlib.decompress(r["digest"]), np.int64)
-    mean = counts.mean()
-    above = np.maximum(counts - mean, 0) / (1.5 * np.sqrt(mean) + 2)
-    return np.where(above > 1, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+def _classes(members: DataFrame, folder: str) -> DataFrame:
+    """digest, rep, n, doc_id, text_md5: a row for each set that isn't empty, with its number and its first document.
+
+    Numbers are given as the table is written, so they are fixed once it is there.
+    """
+    first = F.min(F.struct("doc_id", "text_md5"))
+    sets = members.filter("doc_id is not null and n > 0").groupBy("digest").agg(first.alias("d"), F.first("n").alias("n"))
+    return settle(sets.select("digest", F.monotonically_increasing_id().alias("rep"), "n", "d.doc_id", "d.text_md5"), folder, "classes")
+
+
+def _once(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows with these keys; equal ones go before the shuffle, however many they are."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))
+    return rows.withColumn("_turn", turn).filter("_turn = 1").drop("_turn")
 
 
 def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -307,18 +325,20 @@ def _join_blocks(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     return rows.mapInArrow(tidy(run), "a long, b long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
-    """rep, text of all documents in pairs, and a few more: a bitmap of their ids, of fixed size, filters the scan."""
-    ids = settle(_id_filter(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), folder, f"{name}-ids")
-    h = F.xxhash64("doc_id")
-    wanted = docs.withColumn("slot", _slot(h)).join(F.broadcast(ids), "slot").filter(F.col("bits").bitwiseAND(_bit(h)) != 0)
-    return settle(wanted.select(F.col("doc_id").alias("rep"), "text"), folder, f"{name}-texts")
+def _texts_of(docs: DataFrame, reps: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
+    """rep, text of all classes in pairs: a bitmap of their documents' ids filters the scan."""
+    used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = settle(reps.join(used, "rep", "left_semi").select("rep", "doc_id", "text_md5"), folder, f"{name}-wanted")
+    slots = slots_for(wanted.count())
+    ids = settle(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), slots), folder, f"{name}-ids")
+    met = in_bitmap(docs, F.xxhash64("doc_id"), ids, slots).withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    return settle(_once(met, "doc_id", "text_md5").join(wanted, ["doc_id", "text_md5"]).select("rep", "text"), folder, f"{name}-texts")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, classes: np.ndarray, folder: str, name: str) -> DataFrame:
+def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, sets: DataFrame, classes: np.ndarray, folder: str, name: str) -> DataFrame:
     """Links among the proposed pairs (a, b)."""
     pairs = settle(_may_link(pairs, sets), folder, f"{name}-likely")
-    texts = _texts_of(docs, pairs, folder, name)
+    texts = _texts_of(docs, reps, pairs, folder, name)
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
     cut = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
     probes = degree.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
@@ -349,27 +369,13 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
-def _id_filter(ids: DataFrame) -> DataFrame:
-    """slot, bits: ID_SLOTS rows at most."""
-    h = F.xxhash64("rep")
-    return ids.groupBy(_slot(h).alias("slot")).agg(F.bit_or(_bit(h)).alias("bits"))
-
-
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(ID_SLOTS - 1))
-
-
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def _allowed(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     """Whether sets of these sizes, whose first common token stands at these positions, can link."""
     return 9 * (1 + F.least(na - pa_ - 1, nb - pb - 1)) >= 4 * (na + nb)
 
 
 def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id, text_md5."""
+    """One row per document: doc_id, n_shingles, component_id, class_id, text_md5 and component, its number (null: linked with nothing)."""
     spark = docs.sparkSession
     bound_batches(spark)
     keep = folder or workspace(spark, "jaccard")
@@ -377,11 +383,11 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(_signatures(docs), keep, "signatures")
     classes = _order_classes(signed)
-    members = signed.filter("not sketch").select("doc_id", "n", "digest", "text_md5")
-    reps = settle(members.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), folder, "classes")
+    members = signed.filter("shard < 0").select("doc_id", "n", "digest", "text_md5")
+    reps = _classes(members, folder)
 
-    prefixes = _prefixes(docs, classes).join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    prefixes = settle(prefixes.select(F.col("doc_id").alias("rep"), "n", "prefix", "parity"), folder, "prefixes")
+    prefixes = _once(_prefixes(docs, classes), "doc_id", "digest").join(reps.select("rep", "doc_id", "digest"), ["doc_id", "digest"])
+    prefixes = settle(prefixes.select("rep", "n", "prefix", "parity"), folder, "prefixes")
     tokens = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     met = prefixes.select("rep", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("token", "hub")
     shared = settle(tokens.join(met, "token"), folder, "shared")
@@ -389,7 +395,7 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     hubs = shared.filter("rep = hub").select("token", F.col("n").alias("na"), F.col("pos").alias("pa"))
     stars = shared.filter("rep <> hub").join(hubs, "token").filter(_allowed(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
     stars = settle(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), folder, "stars")
-    links = settle(verify(docs, stars, prefixes, classes, folder, "stars"), folder, "links-0")
+    links = settle(verify(docs, reps, stars, prefixes, classes, folder, "stars"), folder, "links-0")
     label = components(links, folder, "first")
 
     known = shared.join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("comp"))
@@ -401,31 +407,38 @@ def jaccard_components(docs: DataFrame, folder: str | None = None) -> DataFrame:
     across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & allowed)
     pairs = across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb")).distinct()
     pairs = settle(pairs, folder, "pairs")
-    more = verify(docs, pairs, prefixes, classes, folder, "pairs")
+    more = verify(docs, reps, pairs, prefixes, classes, folder, "pairs")
     more = settle(more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), folder, "links-1")
     if more.limit(1).count():
         joined = components(more, folder, "second").withColumnRenamed("node", "_c").withColumnRenamed("label", "_l")
-        of_rep = reps.select("rep").distinct().join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("comp"))
+        of_rep = reps.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("comp"))
         label = settle(of_rep.join(joined, F.col("comp") == F.col("_c"), "left").select(F.col("rep").alias("node"), F.coalesce("_l", "comp").alias("label")), folder, "labels")
-    final = reps.join(label, F.col("rep") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "rep").alias("label"))
-    final = settle(final, keep, "final")
+    final = reps.join(label, F.col("rep") == F.col("node"), "left").select("digest", "doc_id", "rep", F.coalesce("label", "rep").alias("label"))
+    final = settle(final, folder, "final")
+    least = settle(final.groupBy("label").agg(F.min("doc_id").alias("least")), folder, "least")
+    final = settle(final.join(least, "label").select("digest", "rep", "label", "least", F.col("doc_id").alias("class_doc")), keep, "final")
     discard(spark, folder)
     linked = members.join(final, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return linked.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_id"),
         "text_md5",
+        F.when(~alone, F.col("label")).alias("component"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, one of each component: that with its smallest doc_id."""
+    """The documents with all their columns, one of each component: that with its smallest doc_id, then the smallest digest of its text.
+
+    What links with nothing stays, once for rows of equal doc_id and text.
+    """
     key = lambda md5: F.concat_ws("|", md5, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     found = jaccard_components(docs)
-    heads = found.filter("doc_id is null or doc_id = component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_md5")).alias("_own")).agg(F.min("text_md5").alias("text_md5"))
+    own = F.when(F.col("component").isNull(), key(F.col("text_md5")))
+    heads = found.groupBy("component", own.alias("_own")).agg(F.min(F.struct("doc_id", "text_md5")).alias("d")).select("d.*")
     rows = docs.withColumn("_key", key(F.md5(F.coalesce("text", F.lit("")))))
     kept = rows.join(heads.select(key(F.col("text_md5")).alias("_key")), "_key", "left_semi")
     once = Window.partitionBy("_key").orderBy("doc_id")

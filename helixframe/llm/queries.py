@@ -27,7 +27,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("text_md5")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("text_md5", "component")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

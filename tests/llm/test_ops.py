@@ -325,6 +325,31 @@ def test_bounded_sample_is_the_plain_one(spark):
     want = [r.k for r in rows.orderBy(F.xxhash64("k")).limit(100).collect()]
     assert [r.k for r in smallest_hashes(rows, 100, 5000, "k").collect()] == want
     assert smallest_hashes(rows, 6000, 5000, "k").count() == 5000
+    assert [r.k for r in smallest_hashes(rows, 100, 5000, "k", unique=True).collect()] == want
+
+
+def test_sample_of_repeated_keys(spark):
+    """A few keys in most rows: every key that belongs to the sample is in it, once."""
+    from pyspark.sql import functions as F
+
+    from helixframe.llm.common import smallest_hashes
+
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("k")).union(spark.range(10, 40).withColumnRenamed("id", "k"))
+    every = [r.k for r in rows.distinct().orderBy(F.xxhash64("k")).collect()]
+    assert [r.k for r in smallest_hashes(rows, 10_000, rows.count(), "k").collect()] == every
+    assert [r.k for r in smallest_hashes(rows, 7, rows.count(), "k").collect()] == every[:7]
+
+
+def test_trees_from_two_repeated_urls(spark):
+    """Both labels reach the trees, though two urls fill the table."""
+    pages = spark.range(30_000).selectExpr("id AS page_id", "if(id % 2 = 0, 'http://x.net/es/1', 'http://x.com/en/') AS url")
+    others = spark.createDataFrame([(-k, f"http://h{k}.net/{'es' if k % 2 else 'de'}/{k}") for k in range(1, 200)], "page_id long, url string")
+    rows = url_filter.with_rule(url_filter.lexical(pages.union(others)), url_filter.RULES)
+    from pyspark.sql import functions as F
+
+    stats = url_filter.suffix_statistics(rows)
+    total = stats.agg(F.sum("known")).first()[0]
+    assert url_filter.train(url_filter.with_suffix(rows, stats), total).trees
 
 
 # -- 5 ----------------------------------------------------------------------------------
@@ -377,6 +402,34 @@ def test_components(spark, edges):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows)
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Unlike texts under one doc_id each keep their own links."""
+    base = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    a, b = base("a"), base("b")
+    for rows in (
+        [(1, a), (1, b), (7, a + " x"), (8, b + " y")],
+        [(5, a), (5, b), (3, a + " x"), (4, b + " y")],
+        [(5, a), (5, a), (5, a.upper()), (5, b), (3, a + " x"), (3, b + " y"), (2, ""), (2, " ")],
+    ):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = jaccard_join.jaccard_components(frame).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows)
+        kept = jaccard_join.keep_one(frame).collect()
+        groups = {r.component for r in found if r.component is not None}
+        assert len(groups) == 2 and len(kept) == 2 + sum(not t.strip() for _, t in rows)
+
+
+def test_sketch_is_added_up_by_shards(spark, small):
+    frame = spark.createDataFrame(small, "doc_id long, text string").repartition(5)
+    want = np.zeros(jaccard_join.CELLS, np.int64)
+    for grams in jaccard_join.shingle_sets([t for _, t in small]):
+        np.add.at(want, jaccard_join.cell_of(grams), 1)
+    mean = want.mean()
+    above = np.maximum(want - mean, 0) / (1.5 * np.sqrt(mean) + 2)
+    got = jaccard_join._order_classes(jaccard_join._signatures(frame))
+    assert (got == [1 + int(np.log2(x)) if x > 1 else 0 for x in above]).all() and got.any()
+
+
 def test_small_sample_of_documents(spark, small):
     found = queries.QUERIES["op5_jaccard_join"](spark, SMALL).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(small)
