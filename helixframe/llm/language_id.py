@@ -6,7 +6,7 @@ vector bundles (adds) those of its trigrams. A language's prototype bundles all
 trigrams of its training texts. The prediction is the prototype with the largest
 cosine, ties going to the smaller language name; the score is that cosine, 0 at least.
 
-Letters are lower-cased; runs of anything else count as one blank. Vectors of whole
+Letters are lower-cased (a final sigma as any other); runs of anything else count as one blank. Vectors of whole
 numbers are added exactly, so that results do not depend on the order of tasks.
 
 Trained on documents with a language whose crc32(doc_id as text) mod 4 is not 2. The
@@ -15,7 +15,8 @@ prototypes, DIMS numbers for each language, are all that reaches the driver.
 Defined cases: a null text, or one without letters, is `und` with score 0; so is every
 text if there is nothing to learn from. A null doc_id counts as held out. Repeated rows
 come back as often as they came; empty tables give empty results; further columns pass
-through identify() and are ignored by predict(). Long texts are read in pieces.
+through identify() and are ignored by predict(). Long texts are read in pieces, which give
+what the whole text gives; memory does not grow with the number of different trigrams.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from helixframe.llm.common import bound_batches, tidy
 
 DIMS = 512
 SEED = 0x5EED_1A16
-#: Characters that are worked on at once, and cells of a count table.
-PIECE, CELLS = 1 << 20, 1 << 22
+#: Characters that are worked on at once, cells of a count table, and trigrams that have vectors at the same time.
+PIECE, CELLS, KINDS = 1 << 20, 1 << 22, 1 << 13
 UNKNOWN = "und"
 
 
@@ -62,20 +63,52 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
     return np.unpackbits(x.view(np.uint8).reshape(len(points), -1), axis=1)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """owner, kind: the text and the trigram of each place; signs: a row of +-1 for each kind."""
-    table = letters()
-    joined = " " + "  ".join(t.lower() for t in texts) + " "
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    # texts stand between two blanks each; lower() may change lengths
-    sizes = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    points = np.where(table[points], points, 32)
+def lowered(text: str) -> str:
+    """Lower case that doesn't depend on what stands around a letter."""
+    return text.lower().replace("ς", "σ")
+
+
+def normal(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blanks for all that isn't a letter, and which points stay: of a run of blanks the first. first: where texts begin."""
+    points = np.where(letters()[points], points, 32)
     blank = points == 32
-    first = np.ones(len(points), bool)
-    first[1:] = owner[1:] != owner[:-1]
     keep = ~blank | first
     keep[1:] |= blank[1:] & ~blank[:-1]
+    return points, keep
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def carried(text: str) -> str:
+    """The last two symbols of a text in normal form: what the next piece begins with."""
+    points = code_points(text)
+    first = np.zeros(len(points), bool)
+    first[:1] = True
+    points, keep = normal(points, first)
+    return points[keep][-2:].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text as trigrams() takes it, between two blanks; a long one in pieces that share two symbols."""
+    text, lead = lowered(text), " "
+    for at in range(0, len(text), PIECE):
+        piece = lead + text[at : at + PIECE]
+        if at + PIECE >= len(text):
+            yield piece + " "
+        else:
+            yield piece
+            lead = carried(piece)
+
+
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, kind: the text (of pieces()) and the trigram of each place; used: the letters; kinds: each trigram as one number of letters."""
+    points = code_points("".join(texts))
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    first = np.ones(len(points), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    points, keep = normal(points, first)
     points, owner = points[keep], owner[keep]
     used, place = np.unique(points, return_inverse=True) if len(points) < 4096 else _dense(points)
     inside = owner[2:] == owner[:-2]
@@ -83,10 +116,16 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = ((place[:-2].astype(np.int64) * n + place[1:-1]) * n + place[2:])[inside]
     owner = owner[2:][inside]
     kinds, kind = np.unique(code, return_inverse=True) if n**3 > CELLS * 4 else _dense(code)
-    bits = letter_vectors(used)
-    turned = [np.roll(bits, k, axis=1) for k in (2, 1, 0)]
-    bound = turned[0][kinds // (n * n)] ^ turned[1][kinds // n % n] ^ turned[2][kinds % n]
-    return owner, kind, 1 - 2 * bound.astype(np.float32)
+    return owner, kind, used, kinds
+
+
+def trigram_vectors(kinds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A row of +-1 for each trigram: its letters' vectors, turned by their places and bound."""
+    n = len(bits)
+    bound = np.roll(bits[kinds // (n * n)], 2, axis=1)
+    bound ^= np.roll(bits[kinds // n % n], 1, axis=1)
+    bound ^= bits[kinds % n]
+    return 1 - 2 * bound.astype(np.float32)
 
 
 def _dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +143,39 @@ def bundles(texts: list[str], group: list[int], n_groups: int) -> np.ndarray:
     out = np.zeros((n_groups, DIMS))
 
     def add(some: list[str], to: np.ndarray) -> None:
-        owner, kind, signs = trigrams(some)
+        owner, kind, used, kinds = trigrams(some)
         if not len(owner):
             return
+        bits = letter_vectors(used)
         rows, row = np.unique(to[owner], return_inverse=True)
-        step = max(1, CELLS // len(signs))
-        for start in range(0, len(rows), step):
-            here = (row >= start) & (row < start + step)
-            count = min(step, len(rows) - start)
-            table = np.bincount((row[here] - start) * len(signs) + kind[here], minlength=count * len(signs))
-            out[rows[start : start + count]] += table.reshape(count, -1).astype(np.float32) @ signs
+        if len(rows) * len(kinds) > 25 * len(kind):
+            # few repeats: vectors place by place, in order of rows
+            order = np.argsort(row, kind="stable")
+            for start in range(0, len(order), KINDS):
+                some_places = order[start : start + KINDS]
+                here = row[some_places]
+                starts = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+                out[rows[here[starts]]] += np.add.reduceat(trigram_vectors(kinds[kind[some_places]], bits), starts, axis=0)
+            return
+        # many repeats: a table of counts by row and trigram, times the trigrams' vectors
+        order = np.argsort(kind, kind="stable") if len(kinds) > KINDS else np.arange(len(kind))
+        row, kind = row[order], kind[order]
+        for low in range(0, len(kinds), KINDS):
+            signs = trigram_vectors(kinds[low : low + KINDS], bits)
+            a, b = (0, len(kind)) if len(kinds) <= KINDS else np.searchsorted(kind, (low, low + KINDS)).tolist()
+            at, which, step = row[a:b], kind[a:b] - low, max(1, CELLS // len(signs))
+            for start in range(0, len(rows), step):
+                count = min(step, len(rows) - start)
+                here = (at >= start) & (at < start + count) if count < len(rows) else slice(None)
+                table = np.bincount((at[here] - start) * len(signs) + which[here], minlength=count * len(signs))
+                out[rows[start : start + count]] += table.reshape(count, -1).astype(np.float32) @ signs
 
     some, to, size = [], [], 0
     for text, g in zip(texts, group, strict=True):
-        for at in range(0, len(text), PIECE):
-            some.append(text[max(0, at - 2) : at + PIECE])
+        for piece in pieces(text):
+            some.append(piece)
             to.append(g)
-            size += len(some[-1])
+            size += len(piece)
             if size >= PIECE:
                 add(some, np.array(to))
                 some, to, size = [], [], 0

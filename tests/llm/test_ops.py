@@ -624,6 +624,66 @@ def test_bundles_add_up():
     assert (language_id.bundles(["abc"], [0], 1)[0] == by_hand).all()
 
 
+def plain_trigrams(text):
+    chars, out = " ", Counter()
+    for c in text.lower().replace("ς", "σ") + " ":
+        c = c if c.isalpha() else " "
+        if c != " " or chars[-1] != " ":
+            chars += c
+    out.update(chars[k : k + 3] for k in range(len(chars) - 2))
+    return out
+
+
+def plain_vector(text):
+    total = np.zeros(language_id.DIMS)
+    for gram, n in plain_trigrams(text).items():
+        v = 1 - 2 * language_id.letter_vectors(np.array([ord(c) for c in gram])).astype(int)
+        total += n * np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    return total
+
+
+def test_pieces_add_up(monkeypatch):
+    """A text in pieces, at any seam, gives what it gives as a whole; so do tables in parts."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab cdé漢字  .\n1ΣσİA") for _ in range(n)) for n in (1, 2, 3, 40, 200, 400)] + ["", "  ", "ab", "ΑΣ ΑΣΑ", "a" * 50, " ." * 30 + "x"]
+    want = [plain_vector(t) for t in texts]
+    for piece, kinds, cells in ((1 << 20, 1 << 13, 1 << 22), (7, 1 << 13, 1 << 22), (1, 5, 20), (3, 16, 64), (64, 3, 8)):
+        for name, value in (("PIECE", piece), ("KINDS", kinds), ("CELLS", cells)):
+            monkeypatch.setattr(language_id, name, value)
+        got = language_id.bundles(texts, list(range(len(texts))), len(texts))
+        assert (got == np.array(want)).all()
+        assert (language_id.bundles(texts, [0] * len(texts), 1)[0] == sum(want)).all()
+
+
+def test_many_letters_fit_in_memory():
+    """600,000 random characters of many: the vectors of their trigrams never stand side by side."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    text = "".join(map(chr, rnd.integers(0x4E00, 0x9FA5, 600_000).tolist()))
+    language_id.letters()
+    tracemalloc.start()
+    found = language_id.bundles([text, text[:1000]], [0, 1], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and (found[1] == plain_vector(text[:1000])).all()
+
+
+def test_predictions_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    total = defaultdict(lambda: np.zeros(language_id.DIMS))
+    vectors = {r.doc_id: plain_vector(r.text) for r in rows}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            total[r.lang] += vectors[r.doc_id]
+    for r in language_id.predict(docs).collect():
+        v = vectors[r.doc_id]
+        cosine = {k: v @ p / np.linalg.norm(p) / max(np.linalg.norm(v), 1e-9) for k, p in total.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r.lang_pred == (best if v.any() else "und") and r.score == pytest.approx(max(cosine[best], 0) if v.any() else 0, abs=1e-9)
+
+
 def vec(table, c):
     return table[ord(c) - 97] if c != " " else 1 - 2 * language_id.letter_vectors(np.array([32]))[0].astype(int)
 
