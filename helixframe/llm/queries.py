@@ -64,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

@@ -1,6 +1,7 @@
 """The ten operators on small tables: edge cases, and plain versions of each."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -551,6 +552,40 @@ def test_mixing(spark, edges):
     assert all(r.size == words[r.doc_id] for r in found if r.doc_id is not None)
 
 
+def plain_taken(rows, quality):
+    """Every source put in order as a whole; rows: doc_id, source, text."""
+    sizes, out = Counter(), Counter()
+    count = lambda t: len(re.findall(WORD, t or ""))
+    for _, s, t in rows:
+        sizes[s] += count(t)
+
+    def key(k, t):
+        u = (int(hashlib.md5(f"{mixing.SEED}:{'null' if k is None else k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(u) / quality(t), k is not None, k or 0, count(t)
+
+    for s, target in plain_targets(dict(sizes)).items():
+        goal = math.floor(target + 0.5)
+        epochs, rest = divmod(goal, sizes[s]) if sizes[s] else (0, 0)
+        for k, t in sorted(((k, t) for k, x, t in rows if x == s), key=lambda r: key(*r)):
+            part = min(rest, count(t))
+            out[k, s, count(t), epochs * count(t) + part] += 1
+            rest -= part
+    return out
+
+
+@pytest.mark.parametrize("edge", [100_000, 3, 0])
+def test_taken_against_whole_sorts(spark, monkeypatch, edge):
+    """Hot cells are cut level by level; keys of one quality, low and high, and repeated rows at a border."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    rnd = random.Random(edge)
+    rows = [(k, rnd.choice(["a", "b", "b", "b", "c", None]), ("# " if k % 3 else "w ") * rnd.choice([0, 1, 5, 40])) for k in range(600)]
+    rows += [(7000, "d", "x y z")] * 40 + [(None, "d", "x y")] * 5 + [(7001, "e", "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    share = lambda t: max(0.05, 1 - 4 * len(re.findall("[#*$%&|<>]", t or "")) / max(len(t or ""), 1))
+    got = Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(docs).collect())
+    assert got == plain_taken(rows, share)
+
+
 def test_heavy_documents_come_first(spark):
     rows = [(k, ("#" if k % 2 else "w") + " w" * 9, "en", "ab"[k % 3 == 0], 0) for k in range(3000)]
     frame = spark.createDataFrame(rows, DOCS)
