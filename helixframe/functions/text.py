@@ -57,6 +57,23 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+#: Characters of a text that stand as an array of their own at the same time.
+PIECE = 1 << 20
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once a row and use it in `body`, which may hold lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_pieces(text: Column, found: Callable[[Column, Column], Column], overlap: int = 0) -> Column:
+    """found(characters, offset) of every piece of a text, as one array.
+
+    Pieces are PIECE characters and `overlap` more of what follows, so that texts of any length never stand as one array of characters.
+    """
+    return F.flatten(F.transform(slices(text, PIECE, overlap), lambda p, b: bind(chars(p), lambda c: found(c, b.cast("long") * PIECE))))
+
+
 def slices(text: Column, size: int, overlap: int = 0) -> Column:
     """Pieces of `size` characters, each with `overlap` more of what follows; the last one is shorter.
 
@@ -65,10 +82,9 @@ def slices(text: Column, size: int, overlap: int = 0) -> Column:
     """
     n = F.char_length(text)
     numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    as_bytes = once(text.cast("binary"), lambda raw: F.transform(numbers, lambda b: F.substring(raw, b * size + 1, F.lit(size + overlap)).cast("string")))
-    as_chars = once(chars(text), lambda c: F.transform(numbers, lambda b: F.array_join(F.slice(c, b * size + 1, F.lit(size + overlap)), "")))
-    return F.when(F.octet_length(text) == n, as_bytes).otherwise(as_chars)
+    as_bytes = bind(text.cast("binary"), lambda raw: F.transform(numbers, lambda b: F.substring(raw, b * size + 1, F.lit(size + overlap)).cast("string")))
+    as_chars = bind(chars(text), lambda c: F.transform(numbers, lambda b: F.array_join(F.slice(c, b * size + 1, F.lit(size + overlap)), "")))
+    return F.when((n > 0) & (n <= size), F.array(text)).when(F.octet_length(text) == n, as_bytes).otherwise(as_chars)
 
 
 def nibble_code(seq: Column) -> Column:
@@ -78,6 +94,12 @@ def nibble_code(seq: Column) -> Column:
     return F.regexp_replace(even, "(.)(.)", "$2$1")
 
 
+def nibble_decode(code: Column, n: Column) -> Column:
+    """The first n symbols of a nibble code; what is no symbol becomes `?`."""
+    digits = F.regexp_replace(code, "(.)(.)", "$2$1")
+    return F.substring(F.translate(digits, "123450", "ACGTN?"), F.lit(1), n)
+
+
 def rolling_hash(seq: Column, modulus: int = 15_485_863, base: int = 256) -> Column:
     """Polynomial hash of a text's characters."""
     return F.aggregate(chars(seq), F.lit(0).cast("long"), lambda h, c: (h * base + F.ascii(c)) % modulus)

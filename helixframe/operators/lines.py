@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import ascii_upper, chars, slices
+from helixframe.functions import bits
+from helixframe.functions.text import PIECE, ascii_upper, in_pieces, slices
 
 #: What a header line starts with.
 HEADER = "^[>;#]"
@@ -17,9 +18,8 @@ HEADER = "^[>;#]"
 
 def newline_positions(texts: DataFrame) -> DataFrame:
     """file_id, nl_rank, nl_pos: every line feed."""
-    rows = texts.select("file_id", chars(F.col("text")).alias("c"))
-    found = F.filter(F.transform("c", lambda x, i: F.when(x == "\n", i.cast("long"))), lambda i: i.isNotNull())
-    return rows.select("file_id", F.posexplode(found).alias("nl_rank", "nl_pos"))
+    found = in_pieces(F.col("text"), lambda c, at: F.filter(F.transform(c, lambda x, i: F.when(x == "\n", at + i)), lambda i: i.isNotNull()))
+    return texts.select("file_id", F.posexplode(found).alias("nl_rank", "nl_pos"))
 
 
 def newline_deltas(positions: DataFrame) -> DataFrame:
@@ -42,6 +42,22 @@ def newline_exceptions(deltas: DataFrame) -> DataFrame:
     return deltas.join(mode, "file_id").filter("delta <> usual").select("file_id", "idx", "delta")
 
 
+def side_table_bytes(texts: DataFrame) -> DataFrame:
+    """file_id, case_bytes, newline_bytes: what the two side tables of a file take in variable bytes, by formula.
+
+    Case: two counts and the gaps between run borders. Line feeds: four counts, and for each exception to the usual gap
+    the step from the exception before and the gap itself.
+    """
+    by = Window.partitionBy("file_id").orderBy("start")
+    runs = case_runs(texts).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(by), F.lit(0)))
+    case = runs.groupBy("file_id").agg(F.sum(bits.varbyte_size(F.col("gap")) + bits.varbyte_size(F.col("end") - F.col("start"))).alias("c"))
+    odd = newline_exceptions(newline_deltas(newline_positions(texts)))
+    step = F.col("idx") - F.coalesce(F.lag("idx").over(Window.partitionBy("file_id").orderBy("idx")), F.lit(0))
+    feeds = odd.withColumn("step", step).groupBy("file_id").agg(F.sum(bits.varbyte_size(F.col("step").cast("long")) + bits.varbyte_size(F.col("delta"))).alias("l"))
+    rows = texts.select("file_id").join(case, "file_id", "left").join(feeds, "file_id", "left")
+    return rows.select("file_id", (8 + F.coalesce("c", F.lit(0))).cast("long").alias("case_bytes"), (16 + F.coalesce("l", F.lit(0))).cast("long").alias("newline_bytes"))
+
+
 def newline_skips(positions: DataFrame, step: int = 1024) -> DataFrame:
     """Every step-th line feed: the skip index of a file."""
     return positions.filter(F.col("nl_rank") % step == 0)
@@ -58,10 +74,16 @@ def newline_ranks(texts: DataFrame, step: int = 1000) -> DataFrame:
 def case_runs(texts: DataFrame) -> DataFrame:
     """file_id, start, end: runs of a-z, both ends inside; anything else closes a run."""
     low = lambda c: c.between("a", "z")
-    rows = texts.select("file_id", chars(F.col("text")).alias("c"))
-    starts = F.filter(F.transform("c", lambda x, i: F.when(low(x) & ~F.coalesce(low(F.get("c", i - 1)), F.lit(False)), i.cast("long"))), lambda i: i.isNotNull())
-    ends = F.filter(F.transform("c", lambda x, i: F.when(low(x) & ~F.coalesce(low(F.get("c", i + 1)), F.lit(False)), i.cast("long"))), lambda i: i.isNotNull())
-    rows = rows.select("file_id", starts.alias("s"), ends.alias("e"))
+    text = F.col("text")
+    after = lambda c, i: F.coalesce(low(F.get(c, i + 1)), F.lit(False))
+
+    def where(test, shift: int):
+        return in_pieces(text, lambda c, at: F.filter(F.transform(c, lambda x, i: F.when((i < PIECE) & test(c, x, i), at + i + shift)), lambda i: i.isNotNull()), overlap=1)
+
+    first = F.when(low(F.substring(text, 1, 1)), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    starts = F.concat(first, where(lambda c, x, i: ~low(x) & after(c, i), 1))
+    ends = where(lambda c, x, i: low(x) & ~after(c, i), 0)
+    rows = texts.select("file_id", starts.alias("s"), ends.alias("e"))
     return rows.select("file_id", F.inline(F.arrays_zip(F.col("s").alias("start"), F.col("e").alias("end"))).alias("start", "end"))
 
 

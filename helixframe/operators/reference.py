@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import chars
+from helixframe.functions.text import chars, slices
+from helixframe.session import settle, workspace
 
 PADDING = 1024
+#: Windows of a sequence that stand in one row; substring() counts from the start of it.
+WINDOWS = 1 << 8
 
 
 def build_reference(seq: DataFrame, alphabet: str) -> DataFrame:
@@ -68,16 +71,37 @@ def suffix_order(reference: DataFrame) -> DataFrame:
     return reference.select("ref_id", "text").mapInArrow(one, "ref_id string, rank long, pos long")
 
 
-def suffix_order_distributed(symbols: DataFrame, rounds: int) -> DataFrame:
-    """pos, rank of one long text by prefix doubling over tables; symbols: pos, ch. `rounds` doublings settle repeats up to 2^rounds."""
-    rows = symbols.select("pos", F.dense_rank().over(Window.orderBy("ch")).cast("long").alias("rank"))
-    for k in range(rounds):
-        other = rows.select((F.col("pos") - (1 << k)).alias("pos"), F.col("rank").alias("second"))
-        paired = rows.join(other, "pos", "left").na.fill(0, ["second"])
-        keys = paired.select("rank", "second").distinct()
-        ranked = keys.select("rank", "second", F.row_number().over(Window.orderBy("rank", "second")).cast("long").alias("new"))
-        rows = paired.join(ranked, ["rank", "second"]).select("pos", F.col("new").alias("rank"))
-    return rows
+def ranked(keys: DataFrame, order: list[str], folder: str, name: str) -> DataFrame:
+    """Adds new, from 1: the place of each row in the order. A range-partitioned sort numbers rows within parts; parts' sizes, one number each, give the offsets."""
+    placed = settle(keys.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), folder, name)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not sizes:
+        return placed.withColumn("new", F.lit(0).cast("long")).drop("_at")
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets += [F.lit(p), F.lit(total).cast("long")]
+        total += n
+    return placed.withColumn("new", F.create_map(*offsets)[part] + inside + 1).drop("_at")
+
+
+def suffix_order_distributed(symbols: DataFrame, folder: str | None = None) -> DataFrame:
+    """pos, rank of one long text by prefix doubling over tables, until all ranks differ; symbols: pos, ch.
+
+    Sorts and joins only: no task sees more than its part of a text, and no window is without partitions.
+    """
+    folder = folder or workspace(symbols.sparkSession, "suffixes")
+    rows, step, turn = settle(symbols.select("pos", (F.ascii("ch") + 1).cast("long").alias("rank")), folder, "rows-0"), 1, 0
+    n = rows.count()
+    while True:
+        turn += 1
+        other = rows.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("second"))
+        paired = settle(rows.join(other, "pos", "left").na.fill(0, ["second"]), folder, f"paired-{turn}")
+        places = ranked(paired.select("rank", "second").distinct(), ["rank", "second"], folder, f"keys-{turn}")
+        rows = settle(paired.join(places, ["rank", "second"]).select("pos", F.col("new").alias("rank")), folder, f"rows-{turn}")
+        if places.count() == n:
+            return rows.select("pos", (F.col("rank") - 1).alias("rank"))
+        step *= 2
 
 
 def sample_order(order: DataFrame, distance: int, protected: int = 1280) -> DataFrame:
@@ -98,11 +122,12 @@ def gram_counts(texts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def kmers(seq: DataFrame, k: int) -> DataFrame:
-    """file_id, pos, kmer: all windows of k symbols."""
-    n = F.char_length("seq") - k
+    """file_id, pos, kmer: all windows of k symbols. Sequences are cut into overlapping pieces, whose windows stand in a task one piece at a time."""
+    rows = seq.select("file_id", F.posexplode(slices(F.col("seq"), WINDOWS, k - 1)).alias("b", "piece"))
+    n = F.least(F.char_length("piece") - k, F.lit(WINDOWS - 1))
     at = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    rows = seq.select("file_id", chars(F.col("seq")).alias("c"), at.alias("at"))
-    return rows.select("file_id", F.posexplode(F.transform("at", lambda i: F.array_join(F.slice("c", i + 1, F.lit(k)), ""))).alias("pos", "kmer"))
+    rows = rows.select("file_id", "b", F.posexplode(F.transform(at, lambda i: F.substring(F.col("piece"), i + 1, F.lit(k)))).alias("i", "kmer"))
+    return rows.select("file_id", (F.col("b") * WINDOWS + F.col("i")).alias("pos"), "kmer")
 
 
 def kmer_frequency(seq: DataFrame, k: int = 16, place: Column | None = None) -> DataFrame:
@@ -116,22 +141,38 @@ def top_kmers(frequency: DataFrame, n: int = 20) -> DataFrame:
     return frequency.filter("cnt > 1").orderBy(F.desc("cnt"), F.desc("first_at"), "kmer").limit(n)
 
 
-def sample_segments(seq: DataFrame, length: int, n: int, seed: int = 0) -> DataFrame:
-    """file_id, draw, pos, text: n pieces of each sequence, at places drawn from a hash."""
+def drawn(*parts: Column | str) -> Column:
+    """A whole number below 2^52 from a digest of the parts: the same on every rerun, and in SQL."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))), 1, 13), 16, 10).cast("long")
+
+
+def sample_segments(seq: DataFrame, length: int, n: int | Column, seed: int = 0) -> DataFrame:
+    """file_id, draw, pos, text: n pieces of each sequence, at places drawn from a digest."""
     size = F.char_length("seq")
-    rows = seq.filter(size > 0).select("file_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    pos = F.pmod(F.xxhash64(F.lit(seed), F.col("file_id"), F.col("draw")), F.greatest(F.lit(1).cast("long"), size.cast("long") - length + 1))
+    n = F.lit(n) if isinstance(n, int) else n
+    rows = seq.filter(size > 0).select("file_id", "seq", n.cast("int").alias("n")).filter("n > 0")
+    rows = rows.select("file_id", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("draw"))
+    pos = drawn(F.lit(seed), "file_id", "draw") % F.greatest(F.lit(1).cast("long"), size.cast("long") - length + 1)
     return rows.select("file_id", "draw", pos.alias("pos"), F.substring(F.col("seq"), (pos + 1).cast("int"), F.lit(length)).alias("text"))
 
 
-def prepare_reference(seq: DataFrame, k: int = 16, n_kmers: int = 100, segment: int = 500, n_segments: int = 1) -> DataFrame:
-    """part_no, source, text: frequent k-mers first, then sampled segments: the parts of a reference text."""
+def prepare_reference(seq: DataFrame, output_size: int, k: int = 128, segment: int = 5000) -> DataFrame:
+    """source, weight, text: the parts of a reference text of about output_size symbols.
+
+    A tenth of it are the most frequent k-mers, the rest segments; every sequence gives segments in
+    proportion to its size, what is left of a share being drawn from a digest.
+    """
+    n_kmers, n_segments = output_size // 10 // k, output_size * 9 // 10 // segment
     top = top_kmers(kmer_frequency(seq, k), n_kmers).select(F.lit("kmer").alias("source"), F.col("cnt").alias("weight"), F.col("kmer").alias("text"))
-    parts = sample_segments(seq, segment, n_segments).select(F.lit("segment").alias("source"), F.col("file_id").alias("weight"), "text")
+    total = seq.agg(F.sum(F.char_length("seq").cast("long"))).first()[0] or 0
+    share = F.char_length("seq").cast("long") * F.lit(n_segments).cast("long")
+    whole, rest = F.floor(share / F.lit(max(total, 1))), share % F.lit(max(total, 1))
+    n = whole + (drawn(F.lit("share"), "file_id") % F.lit(max(total, 1)) < rest).cast("long")
+    parts = sample_segments(seq, segment, n).select(F.lit("segment").alias("source"), F.col("file_id").alias("weight"), "text")
     return top.unionByName(parts)
 
 
-def collect_reference(reference: DataFrame, most: int = 1 << 28) -> str:
+def collect_reference(reference: DataFrame, most: int = 1 << 24) -> str:
     """The single reference text on the driver; refuses what is larger than `most` characters."""
     size = reference.agg(F.sum(F.char_length("text"))).first()[0] or 0
     if size > most:

@@ -7,22 +7,25 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import chars
+from helixframe.functions.text import PIECE, in_pieces
 
 
 def search_all(texts: DataFrame, pattern: str) -> DataFrame:
     """file_id, pos: every occurrence, overlapping ones too, ascending. An empty pattern has none."""
     if not pattern:
         return texts.select("file_id", F.lit(0).cast("long").alias("pos")).filter(F.lit(False))
-    rows = texts.filter(F.contains("text", F.lit(pattern))).select("file_id", chars(F.col("text")).alias("c"))
 
-    def starts(x, i):
-        hit = x == pattern[0]
-        for k, ch in enumerate(pattern[1:], 1):
-            hit = hit & (F.get("c", i + k) == ch)
-        return F.when(hit, i.cast("long"))
+    def found(c, at):
+        def starts(x, i):
+            hit = (x == pattern[0]) & (i < PIECE)
+            for k, ch in enumerate(pattern[1:], 1):
+                hit = hit & (F.get(c, i + k) == ch)
+            return F.when(hit, at + i)
 
-    return rows.select("file_id", F.explode(F.filter(F.transform("c", starts), lambda i: i.isNotNull())).alias("pos"))
+        return F.filter(F.transform(c, starts), lambda i: i.isNotNull())
+
+    rows = texts.filter(F.contains("text", F.lit(pattern)))
+    return rows.select("file_id", F.explode(in_pieces(F.col("text"), found, len(pattern) - 1)).alias("pos"))
 
 
 def search_apart(texts: DataFrame, pattern: str) -> DataFrame:
