@@ -79,5 +79,13 @@ def rename(files: DataFrame, old: str, new: str, suffix: str) -> DataFrame:
     return files.select(F.when(hit, new).otherwise(F.col("path")).alias("path"), F.when(hit, F.lit(action)).otherwise("none").alias("action"))
 
 
+def rename_all(files: DataFrame, moves: DataFrame, suffix: str) -> DataFrame:
+    """path, action for many renames (old, new): the same by a join."""
+    rows = files.join(moves, F.col("path") == F.col("old"), "left")
+    was, will = F.col("path").endswith(suffix), F.col("new").endswith(suffix)
+    action = F.when(will & ~was, "encode").when(was & ~will, "decode").otherwise("none")
+    return rows.select(F.coalesce("new", "path").alias("path"), F.coalesce(action, F.lit("none")).alias("action"))
+
+
 def remove(files: DataFrame, gone: DataFrame) -> DataFrame:
     return files.join(gone, "path", "left_anti")

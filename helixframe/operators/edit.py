@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import chars
+from helixframe.operators import factorize
 
 
 def patched(text: Column, at: Column, new: Column) -> Column:
@@ -19,6 +20,22 @@ def patch_text(texts: DataFrame, patches: DataFrame) -> DataFrame:
     return texts.join(patches, "file_id", "left").select("file_id", F.when(F.col("at").isNull(), F.col("text")).otherwise(patched(F.col("text"), F.col("at"), F.col("new"))).alias("text"))
 
 
+def patch_encoded(encoded: DataFrame, patches: DataFrame, reference: str, size: int) -> DataFrame:
+    """The factors of files after patches (file_id, at, new; one a file, beginning inside it or at its end).
+
+    Only blocks that a patch touches are decoded, written over and factorised again; all others stay as they are.
+    """
+    touched = touched_blocks(patches, size).withColumn("block_no", F.col("block_no").cast("int"))
+    old = factorize.decode(encoded.join(touched, ["file_id", "block_no"], "left_semi"), reference)
+    rows = touched.join(patches, "file_id").join(old, ["file_id", "block_no"], "left").withColumn("block_start", F.col("block_no").cast("long") * size)
+    text, start = F.coalesce("text", F.lit("")), F.col("block_start")
+    at = F.greatest(F.lit(0), F.col("at") - start).cast("int")
+    part = F.substring("new", (F.greatest(F.lit(0), start - F.col("at")) + 1).cast("int"), F.lit(size) - at)
+    fresh = F.concat(F.substring(text, F.lit(1), at), part, F.substring(text, at + F.char_length(part) + 1, F.lit(size)))
+    again = factorize.factorize(rows.select("file_id", "block_no", "block_start", fresh.alias("text")), reference)
+    return encoded.join(touched, ["file_id", "block_no"], "left_anti").select(*again.columns).unionByName(again)
+
+
 def touched_blocks(patches: DataFrame, size: int) -> DataFrame:
     """file_id, block_no: the blocks that patches change; only these are encoded anew."""
     last = F.floor((F.col("at") + F.greatest(F.char_length("new"), F.lit(1)) - 1) / size)

@@ -10,8 +10,8 @@ of checked size.
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +25,8 @@ from helixframe.session import spread
 
 #: Characters of a suffix that are compared first; longer matches look further.
 PROBE = 32
+#: Characters that find a factor's part of the suffix order at once, and how many such parts are remembered.
+HEAD, HEADS = 5, 200_000
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -43,36 +45,90 @@ def common_prefix(a: str, b: str) -> int:
 
 @dataclass
 class ReferenceIndex:
-    """A reference text with the order of its suffixes; positions may be limited to a range."""
+    """A reference text with the order of its suffixes."""
 
     text: str
     order: array = field(default_factory=lambda: array("q"))
+    #: Rows of the order whose suffixes begin with some HEAD characters, filled as these are met.
+    spans: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, text: str, start: int = 0, stop: int | None = None) -> ReferenceIndex:
-        order = suffix_array(text)
-        inside = (order >= start) & (order < (len(text) if stop is None else stop))
-        return cls(text, array("q", order[inside].astype(np.int64).tobytes()))
+    def of(cls, text: str) -> ReferenceIndex:
+        return cls(text, array("q", suffix_array(text).astype(np.int64).tobytes()))
+
+    def span(self, wanted: str, low: int = 0, high: int | None = None) -> tuple[int, int]:
+        """The rows of the order whose suffixes begin with `wanted`, looked for between two rows."""
+        ref, n = self.text, len(wanted)
+        key = lambda p: ref[p : p + n]
+        first = bisect_left(self.order, wanted, low, high, key=key)
+        return first, bisect_right(self.order, wanted, first, high, key=key)
+
+    def head(self, wanted: str) -> tuple[int, int]:
+        """The same for HEAD characters, remembered."""
+        found = self.spans.get(wanted)
+        if found is None:
+            if len(self.spans) >= HEADS:
+                self.spans.clear()
+            found = self.spans[wanted] = self.span(wanted)
+        return found
 
     def longest(self, text: str, at: int, stop: int) -> tuple[int, int]:
         """Position and length of the longest prefix of text[at:stop]; of several places the first in suffix order."""
-        ref, order, look = self.text, self.order, PROBE
+        ref, order, look, low, high = self.text, self.order, PROBE, 0, len(self.order)
+        if stop - at >= HEAD:
+            first, last = self.head(text[at : at + HEAD])
+            if first < last:
+                low, high = first, last
         while True:
             wanted = text[at : min(stop, at + look)]
-            k = bisect_left(order, wanted, key=lambda p: ref[p : p + look])
-            best = max((common_prefix(wanted, ref[p : p + look]) for p in order[max(k - 1, 0) : k + 1]), default=0)
+            k = bisect_left(order, wanted, low, high, key=lambda p: ref[p : p + look])
+            best = max((common_prefix(wanted, ref[p : p + look]) for p in order[max(k - 1, low) : min(k + 1, high)]), default=0)
             if best < look or at + look >= stop:
                 break
             look *= 4
         if not best:
             return -1, 0
-        wanted = text[at : at + best]
-        return order[bisect_left(order, wanted, key=lambda p: ref[p : p + best])], best
+        return order[self.span(text[at : at + best], low, high)[0]], best
+
+    def first_inside(self, wanted: str, start: int, stop: int) -> int:
+        """Of the places start to stop (that too) where `wanted` stands the first in suffix order; -1 if there is none."""
+        low, high = self.span(wanted)
+        for k in range(low, high, 4096):
+            places = np.frombuffer(self.order, np.int64)[k : min(k + 4096, high)]
+            hit = np.flatnonzero((places >= start) & (places <= stop))
+            if len(hit):
+                return int(places[hit[0]])
+        return -1
+
+    def longest_inside(self, text: str, at: int, stop: int, start: int, end: int) -> tuple[int, int]:
+        """The same as longest() where a match may only begin from start to end in the reference."""
+        position, most = self.longest(text, at, stop)
+        if not most or start <= position <= end:
+            return position, most
+        least, found = 0, -1
+        while least < most:  # what begins inside with n characters does so with fewer
+            middle = (least + most + 1) // 2
+            place = self.first_inside(text[at : at + middle], start, end)
+            least, most, found = (middle, most, place) if place >= 0 else (least, middle - 1, found)
+        return found, least
+
+    def longest_valid(self, text: str, at: int, stop: int, least: int, valid: np.ndarray) -> tuple[int, int]:
+        """The longest prefix of `least` characters or more all of whose lengths from `least` on end at a valid place of the reference somewhere; else -1, 0."""
+        found, n = (-1, 0), least
+        low, high = self.span(text[at : at + least]) if stop - at >= least else (0, 0)
+        while low < high:
+            places = np.frombuffer(self.order, np.int64)[low:high]
+            hit = np.flatnonzero(valid[places + n - 1])
+            if not len(hit):
+                break
+            found, n = (int(places[hit[0]]), n), n + 1
+            low, high = self.span(text[at : at + n], low, high) if at + n <= stop else (0, 0)
+        return found
 
-    def factors(self, text: str) -> tuple[list[int], list[int]]:
+    def factors(self, text: str, inside: tuple[int, int] | None = None) -> tuple[list[int], list[int]]:
         positions, lengths, at, end = [], [], 0, len(text)
         while at < end:
-            p, n = self.longest(text, at, end)
+            p, n = self.longest(text, at, end) if inside is None else self.longest_inside(text, at, end, *inside)
             if not n:
                 raise ValueError(f"the reference lacks the symbol {text[at]!r}")
             positions.append(p)
@@ -80,6 +136,16 @@ class ReferenceIndex:
             at += n
         return positions, lengths
 
+    def valid_factors(self, text: str, least: int, valid: np.ndarray) -> tuple[list[int], list[int]]:
+        """Matches of `least` characters or more; position -1 and length 1 for a character in none."""
+        positions, lengths, at, end = [], [], 0, len(text)
+        while at < end:
+            p, n = self.longest_valid(text, at, end, least, valid)
+            positions.append(p)
+            lengths.append(max(n, 1))
+            at += max(n, 1)
+        return positions, lengths
+
 
 ENCODED = "file_id long, block_no int, ref_pos array<long>, len array<long>"
 
@@ -93,20 +159,43 @@ def _encoded(keys: pa.RecordBatch, positions: list, lengths: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([keys["file_id"], keys["block_no"], pa.array(positions, kind), pa.array(lengths, kind)], names=["file_id", "block_no", "ref_pos", "len"])
 
 
-def factorize(blocks: DataFrame, reference: str, ranges: tuple[int, int] | None = None) -> DataFrame:
-    """file_id, block_no, ref_pos, len: the factors of each block (file_id, block_no, text), as arrays.
-
-    ranges limits where in the reference a factor may start.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(ReferenceIndex.of(reference, *(ranges or ())))
+def _factorized(blocks: DataFrame, index: ReferenceIndex, of_block: Callable[[ReferenceIndex, str, int], tuple[list, list]]) -> DataFrame:
+    shared = blocks.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = [index.factors(text) for text in batch["text"].to_pylist()]
+            found = [of_block(index, text, start) for text, start in _rows(batch, "text", "block_start")]
             yield _encoded(batch, [p for p, _ in found], [n for _, n in found])
 
-    return spread(blocks.select("file_id", "block_no", "text"), "file_id", "block_no").mapInArrow(run, ENCODED)
+    return spread(blocks.select("file_id", "block_no", "block_start", "text"), "file_id", "block_no").mapInArrow(run, ENCODED)
+
+
+def factorize(blocks: DataFrame, reference: str) -> DataFrame:
+    """file_id, block_no, ref_pos, len: the factors of each block (file_id, block_no, block_start, text), as arrays."""
+    return _factorized(blocks, ReferenceIndex.of(reference), lambda index, text, start: index.factors(text))
+
+
+def factorize_near(blocks: DataFrame, reference: str, reach: int) -> DataFrame:
+    """The same where a factor begins `reach` characters at most from the block's own place, so that positions of a block lie close together.
+
+    The window moves with the blocks; beyond the reference's end it stays there. The reference
+    repeats its alphabet within every reach (build_range_reference), or some symbol is missed.
+    """
+    size = len(reference)
+
+    def near(index: ReferenceIndex, text: str, start: int) -> tuple[list, list]:
+        return index.factors(text, (max(0, min(start, size) - reach), start + reach))
+
+    return _factorized(blocks, ReferenceIndex.of(reference), near)
+
+
+def factorize_valid(blocks: DataFrame, reference: str, least: int, valid: list[tuple[int, int]]) -> DataFrame:
+    """Matches of `least` characters or more that end inside the ranges `valid` (from, to) of the reference; other characters stand alone at -1."""
+    mask = np.zeros(len(reference), bool)
+    for a, b in valid:
+        mask[a:b] = True
+    return _factorized(blocks, ReferenceIndex.of(reference), lambda index, text, start: index.valid_factors(text, least, mask))
 
 
 def factors(encoded: DataFrame) -> DataFrame:
@@ -122,11 +211,6 @@ def factors(encoded: DataFrame) -> DataFrame:
     return rows.select("file_id", "block_no", F.col("factor_no").cast("long").alias("factor_no"), "f.ref_pos", "f.len", "f.text_off")
 
 
-def with_validity(rows: DataFrame, min_length: int) -> DataFrame:
-    """Adds valid: whether a factor is long enough to stand for a match."""
-    return rows.withColumn("valid", F.col("len") >= min_length)
-
-
 def decode(encoded: DataFrame, reference: str) -> DataFrame:
     """file_id, block_no, text: pieces of the reference, put together in order."""
     shared = encoded.sparkSession.sparkContext.broadcast(reference)
