@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bits, codecs, text
 from helixframe.operators import blocks, catalog, edit, factorize, lines, range_read, reference, restore, search
-from helixframe.session import spread, table
+from helixframe.session import spread, table, workspace
 from helixframe.sources import config, files, mutations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BLOCK, STEP, K = 1000, 1000, 16
+#: Sizes of the range reference (text up to, chunk), and how far from its place a block's factors begin.
+RANGES, REACH = ((1000, 250), (4000, 500), (1 << 40, 1000)), 3000
+#: Factors below SHORT characters make segments; matches of LEAST or more that end in VALID count as valid.
+SHORT, LEAST, VALID = 5, 6, [(1024, 1600), (1700, 1 << 40)]
+#: Symbols of a prepared reference, and of its segments.
+PREPARED, SEGMENT = 20_000, 500
 
 #: Views that the SQL of several queries starts from.
 _UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
@@ -35,6 +41,56 @@ _HEADERS = "headers AS (SELECT file_id, line_no, pos_text, coalesce(sum(length(l
 _REF = f"ref AS (SELECT repeat('N', 1024) || 'ACGT' || string_agg(regexp_replace({_UP.format('text')}, '[^ACGT]', '', 'g'), '' ORDER BY item_id) AS text FROM benchmark)"
 _BLOCKS = f"blocks AS (SELECT file_id, b AS block_no, b * {BLOCK} AS block_start, substring(seq, b * {BLOCK} + 1, {BLOCK}) AS text FROM (SELECT file_id, seq, unnest(range(0, (length(seq) + {BLOCK} - 1) // {BLOCK})) AS b FROM seq))"
 _TREE = "tree AS (SELECT path, parent, name, bool_or(is_dir) AS is_dir FROM (SELECT '/' || array_to_string(s[1:k], '/') AS path, '/' || array_to_string(s[1:k-1], '/') AS parent, s[k] AS name, k < len(s) AS is_dir FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM paths))) GROUP BY ALL)"
+_RANGE_REF = f"{_REF.replace('ref AS', 'base AS', 1)}, body AS (SELECT substring(text, 1029, length(text)) AS s FROM base), cut AS (SELECT s, CASE WHEN length(s) <= 1000 THEN 1 WHEN length(s) <= 4000 THEN 2 ELSE 3 END AS range_class, CASE WHEN length(s) <= 1000 THEN 250 WHEN length(s) <= 4000 THEN 500 ELSE 1000 END AS c FROM body), ref AS (SELECT range_class, string_agg(repeat('N', 1024) || 'ACGT' || substring(s, b * c + 1, c), '' ORDER BY b) AS text FROM (SELECT *, unnest(range(0, (length(s) + c - 1) // c)) AS b FROM cut) GROUP BY range_class)"
+
+
+def _bits(x: str) -> str:
+    return f"greatest(1, length(ltrim(bin({x}), '0')))"
+
+
+def _words(x: str) -> str:
+    return f"4 * (({x} + 31) // 32)"
+
+
+def _varbyte(x: str) -> str:
+    return f"greatest(1, (length(ltrim(bin({x}), '0')) + 6) // 7)"
+
+
+def _drawn(x: str) -> str:
+    return f"('0x' || substring(md5({x}), 1, 13))::BIGINT"
+
+
+def _factor_views(ref: str, low: str, high: str) -> str:
+    """factors: greedy factorisation of `blocks`, where factors begin from low to high (SQL over block_start and m, the reference's length).
+
+    One step takes the next factor of every block: its first 32 characters are looked up among those of all suffixes,
+    and what goes on beyond them is compared with the reference itself.
+    """
+    return f"""{_SEQ}, {_BLOCKS}, {ref},
+sa AS (SELECT p AS pos, s, row_number() OVER (ORDER BY s) - 1 AS rank FROM (SELECT p, substring(text, p + 1, length(text)) AS s FROM (SELECT text, unnest(range(0, length(text))) AS p FROM ref))),
+rk AS (SELECT list(rank ORDER BY pos) AS ranks FROM sa),
+framed AS (SELECT file_id, block_no, text, {low} AS lo, {high} AS hi FROM (SELECT blocks.*, length(ref.text) AS m FROM blocks, ref)),
+wins AS (SELECT DISTINCT lo, hi FROM framed),
+heads AS (SELECT lo, hi, g, min(rank) AS rank FROM (SELECT lo, hi, rank, unnest(list_transform(range(1, least(32, length(s)) + 1), lambda n: substring(s, 1, n))) AS g FROM sa, wins WHERE pos BETWEEN lo AND hi AND NOT starts_with(s, 'N')) WHERE NOT contains(g, 'N') GROUP BY ALL),
+f AS (
+  SELECT file_id, block_no, lo, hi, text, -1::BIGINT AS k, 0::BIGINT AS off, 0::BIGINT AS n, 0::BIGINT AS rank FROM framed
+  UNION ALL
+  SELECT file_id, block_no, lo, hi, text, k, off, n,
+         CASE WHEN n > 32 THEN list_min(list_transform(list_filter(range(lo + 1, least(hi, length(r)) + 2), lambda p: substring(r, p, n) = substring(text, off + 1, n)), lambda p: ranks[p])) ELSE rank END
+  FROM (
+    SELECT file_id, block_no, lo, hi, text, k, off, rank, r, ranks,
+           CASE WHEN n < 32 THEN n ELSE 32 + len(list_filter(range(33, length(text) - off + 1), lambda j: strpos(substring(r, lo + 1, hi - lo + j), substring(text, off + 1, j)) > 0)) END AS n
+    FROM (
+      SELECT q.file_id, q.block_no, q.lo, q.hi, q.text, q.k + 1 AS k, q.off, max(length(heads.g)) AS n, arg_max(heads.rank, length(heads.g)) AS rank
+      FROM (SELECT file_id, block_no, lo, hi, text, k, off + n AS off, unnest(list_transform(range(1, least(32, length(text) - off - n) + 1), lambda j: substring(text, off + n + 1, j))) AS g FROM f WHERE off + n < length(text)) q
+      JOIN heads ON heads.g = q.g AND heads.lo = q.lo AND heads.hi = q.hi
+      GROUP BY q.file_id, q.block_no, q.lo, q.hi, q.text, q.k, q.off), (SELECT text AS r FROM ref), rk)),
+factors AS (SELECT f.file_id, f.block_no, f.k AS factor_no, sa.pos AS ref_pos, f.n AS len, f.off AS text_off FROM f JOIN sa ON sa.rank = f.rank WHERE f.n > 0)"""
+
+
+_FACTORS = _factor_views(_REF, "0", "m")
+_NEAR_FACTORS = _factor_views(_RANGE_REF, f"greatest(0, least(block_start, m) - {REACH})", f"block_start + {REACH}")
+_SIZES = f"sizes AS (SELECT file_id, block_no, {_words(f'8 + count(*) * {_bits('max(ref_pos)')}')} AS pos_bytes, {_words('sum((len >> 6) + 7)')} AS len_bytes FROM factors GROUP BY ALL)"
 
 
 #: Columns whose type in SQL differs from Spark's, by query.
@@ -53,6 +109,18 @@ _TYPES: dict[str, dict[str, str]] = {
     "bitpack": {"block_no": "INTEGER"},
     "range_read": {"len": "BIGINT"},
     "search_apart": {"pos": "BIGINT"},
+    "rlz_factorize": {"block_no": "INTEGER"},
+    "rlz_factorize_range": {"block_no": "INTEGER"},
+    "block_bitwidth": {"block_no": "INTEGER", "width": "INTEGER", "delta_width": "INTEGER"},
+    "block_encoded_bytes": {"block_no": "INTEGER", "pos_bytes": "BIGINT", "len_bytes": "BIGINT", "bytes_len": "BIGINT"},
+    "encoded_size": {"bytes": "BIGINT"},
+    "encoded_offsets": {"block_no": "INTEGER", "bytes_pos": "BIGINT", "bytes_len": "BIGINT"},
+    "segment_index": {"block_no": "INTEGER", "seg_start": "BIGINT"},
+    "search_segments": {"block_no": "INTEGER", "pos": "BIGINT"},
+    "codec_roundtrip": {"n": "BIGINT", "bytes": "BIGINT"},
+    "segment_sample": {"draw": "INTEGER", "pos": "BIGINT"},
+    "side_table_bytes": {"case_bytes": "BIGINT", "newline_bytes": "BIGINT"},
+    "patch_encoded": {"block_no": "INTEGER"},
     "newline_update": {"nl_pos": "BIGINT"},
     "path_tokens": {"depth": "INTEGER"},
     "dir_summary": {"n_bytes": "BIGINT"},
@@ -152,6 +220,12 @@ def nibble(spark, d):
     return seqs(spark, d).select("file_id", text.nibble_code(F.col("seq")).alias("code"))
 
 
+@query("nibble_decode", f"WITH {_SEQ} SELECT file_id, seq FROM seq")
+def nibble_decode(spark, d):
+    coded = seqs(spark, d).select("file_id", text.nibble_code(F.col("seq")).alias("code"), F.char_length("seq").alias("n"))
+    return coded.select("file_id", text.nibble_decode(F.col("code"), F.col("n")).alias("seq"))
+
+
 @query("kr_hash", f"WITH {_SEQ} SELECT file_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(seq, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 256 + c) % 15485863) AS hash FROM seq")
 def kr_hash(spark, d):
     return seqs(spark, d).select("file_id", text.rolling_hash(F.col("seq")).alias("hash"))
@@ -213,14 +287,37 @@ def fasta_sequence(spark, d):
     return lines.sequence_text(fasta(spark, d))
 
 
-def _restored(name: str) -> None:
-    @query(name, f"WITH {_FASTA} SELECT file_id, text FROM fasta")
-    def run(spark, d):
-        return restore.restore(lines.strip(fasta(spark, d)))
+@query("restore_newlines", f"SELECT doc_id AS file_id, {_UP.format('text')} || chr(10) AS text FROM documents")
+def restore_newlines(spark, d):
+    return restore.restore_newlines(lines.strip(fasta(spark, d)))
+
+
+@query("restore_headers", f"WITH {_FASTA} SELECT file_id, {_UP.format('text')} AS text FROM fasta")
+def restore_headers(spark, d):
+    stored = lines.strip(fasta(spark, d))
+    return restore.restore_headers(restore.restore_newlines(stored), stored)
 
 
-for _name in ("restore_newlines", "restore_headers", "restore_case"):
-    _restored(_name)
+@query("restore_case", f"WITH {_FASTA} SELECT file_id, text FROM fasta")
+def restore_case(spark, d):
+    stored = lines.strip(fasta(spark, d))
+    upper = fasta(spark, d).select("file_id", text.ascii_upper(F.col("text")).alias("text"))
+    return restore.restore_case(upper, stored)
+
+
+@query("restore_files", f"WITH {_FASTA} SELECT file_id, text FROM fasta")
+def restore_files(spark, d):
+    """All three steps at once."""
+    return restore.restore(lines.strip(fasta(spark, d)))
+
+
+@query("side_table_bytes", f"""WITH {_DELTAS}, {{runs}}, gaps AS (SELECT file_id, s - coalesce(lag(e) OVER (PARTITION BY file_id ORDER BY s), 0) AS gap, e - s AS n FROM runs),
+c AS (SELECT file_id, sum({_varbyte('gap')} + {_varbyte('n')}) AS c FROM gaps GROUP BY file_id),
+odd AS (SELECT d.file_id, d.delta, d.idx - coalesce(lag(d.idx) OVER (PARTITION BY d.file_id ORDER BY d.idx), 0) AS step FROM deltas d JOIN modes m ON d.file_id = m.file_id WHERE d.delta <> m.delta),
+l AS (SELECT file_id, sum({_varbyte('step::BIGINT')} + {_varbyte('delta::BIGINT')}) AS l FROM odd GROUP BY file_id)
+SELECT doc_id AS file_id, 8 + coalesce(c, 0) AS case_bytes, 16 + coalesce(l, 0) AS newline_bytes FROM documents LEFT JOIN c ON c.file_id = doc_id LEFT JOIN l ON l.file_id = doc_id""".replace("{runs}", "runs AS (SELECT file_id, (upto - length(x))::BIGINT AS s, (upto - 1)::BIGINT AS e FROM (SELECT file_id, x, sum(length(x)) OVER (PARTITION BY file_id ORDER BY k) AS upto FROM (SELECT doc_id AS file_id, generate_subscripts(p, 1) AS k, unnest(p) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+|[^a-z]+') AS p FROM documents))) WHERE regexp_matches(x, '^[a-z]'))"))
+def side_table_bytes(spark, d):
+    return lines.side_table_bytes(wide_docs(spark, d))
 
 
 # -- codes ---------------------------------------------------------------------------------
@@ -238,7 +335,11 @@ _bit_sizes("gamma_bits", lambda n: bits.gamma_bits(n + 1), "2 * (length(ltrim(bi
 _bit_sizes("varbyte_size", bits.varbyte_size, "greatest(1, (b + 6) // 7)")
 
 
-@query("codec_roundtrip")
+_KEYS = "keys AS (SELECT o_custkey, o_orderkey AS v, min(o_orderkey) OVER (PARTITION BY o_custkey) AS low FROM orders)"
+
+
+@query("codec_roundtrip", f"""WITH {_KEYS}, sizes AS (SELECT count(*) AS n, {_words(f"8 + count(*) * {_bits('max(v)')}")} AS maxbits, {_words(f"40 + count(*) * {_bits('max(v - low)')}")} AS delta, {_words('sum((v >> 6) + 7)')} AS golomb, {_words(f"sum(2 * {_bits('v + 1')} - 1)")} AS gamma, sum({_varbyte('v')}) AS varbyte FROM keys GROUP BY o_custkey)
+SELECT codec, sum(n) AS n, sum(bytes) AS bytes, true AS ok FROM (UNPIVOT (SELECT n, maxbits::BIGINT AS maxbits, delta::BIGINT AS delta, golomb::BIGINT AS golomb, gamma::BIGINT AS gamma, varbyte::BIGINT AS varbyte FROM sizes) ON maxbits, delta, golomb, gamma, varbyte INTO NAME codec VALUE bytes) GROUP BY codec""")
 def codec_roundtrip(spark, d):
     """codec, n, bytes, ok: every integer code over the order keys of each customer."""
     import numpy as np
@@ -283,7 +384,7 @@ def ref_build(spark, d):
 @query("ref_build_ranges", f"WITH {_REF}, body AS (SELECT substring(text, 1029, length(text)) AS s FROM ref), cut AS (SELECT s, CASE WHEN length(s) <= 1000 THEN 1 WHEN length(s) <= 4000 THEN 2 ELSE 3 END AS range_class, CASE WHEN length(s) <= 1000 THEN 250 WHEN length(s) <= 4000 THEN 500 ELSE 1000 END AS c FROM body) SELECT 'ref' AS ref_id, range_class, string_agg(repeat('N', 1024) || 'ACGT' || substring(s, b * c + 1, c), '' ORDER BY b) AS text FROM (SELECT *, unnest(range(0, (length(s) + c - 1) // c)) AS b FROM cut) GROUP BY range_class")
 def ref_build_ranges(spark, d):
     parts = table(spark, d, "benchmark").select(F.lit("ref").alias("ref_id"), F.col("item_id").alias("part_no"), text.keep_acgt(F.col("text")).alias("seq"))
-    return reference.build_range_reference(parts, "ACGT", ((1000, 250), (4000, 500), (1 << 40, 1000)))
+    return reference.build_range_reference(parts, "ACGT", RANGES)
 
 
 _SA = f"{_REF}, sa AS (SELECT row_number() OVER (ORDER BY s) - 1 AS rank, p AS pos FROM (SELECT p, substring(text, p + 1, length(text)) AS s FROM (SELECT text, unnest(range(0, length(text))) AS p FROM ref)))"
@@ -299,6 +400,21 @@ def sa_sample(spark, d):
     return reference.sample_order(reference.suffix_order(ref_table(spark, d)), 10)
 
 
+@query("suffix_array_tables", f"WITH {_SA} SELECT rank, pos FROM sa")
+def suffix_array_tables(spark, d):
+    """The same for texts beyond one task: sorts and joins of tables."""
+    symbols = ref_table(spark, d).select(F.posexplode(text.chars(F.col("text"))).alias("pos", "ch"))
+    return reference.suffix_order_distributed(symbols.select(F.col("pos").cast("long").alias("pos"), "ch"))
+
+
+@query("reference_store", f"WITH {_SA} SELECT 'ref' AS ref_id, rank, pos FROM sa WHERE pos < 1280 OR pos % 10 = 0")
+def reference_store(spark, d):
+    """A reference with both kinds of its suffix order, written as tables; the sampled one read again."""
+    path = workspace(spark, "reference")
+    files.save_reference(ref_table(spark, d), path, 10)
+    return files.load_reference(spark, path, files.SAMPLED)[1]
+
+
 @query("distinct_alphabet", "SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''")
 def distinct_alphabet(spark, d):
     return reference.alphabet_of(wide_docs(spark, d))
@@ -322,32 +438,39 @@ def kmer_topk(spark, d):
     return reference.top_kmers(reference.kmer_frequency(spread(seqs(spark, d), "file_id"), K))
 
 
-@query("segment_sample")
+@query("segment_sample", f"WITH {_SEQ} SELECT file_id, draw, {_drawn("'0:' || file_id || ':' || draw")} % greatest(1, length(seq) - 99) AS pos, substring(seq, ({_drawn("'0:' || file_id || ':' || draw")} % greatest(1, length(seq) - 99))::INT + 1, 100) AS text FROM (SELECT *, unnest([0, 1, 2]) AS draw FROM seq WHERE seq <> '')")
 def segment_sample(spark, d):
     return reference.sample_segments(seqs(spark, d), 100, 3)
 
 
-@query("ref_prepare")
+@query("ref_prepare", f"""WITH {_KMERS}, t AS (SELECT sum(length(seq))::BIGINT AS total FROM seq), n AS (SELECT file_id, seq, (length(seq) * {PREPARED * 9 // 10 // SEGMENT}) // total + ({_drawn("'share:' || file_id")} % total < (length(seq) * {PREPARED * 9 // 10 // SEGMENT}) % total)::INT AS n FROM seq, t),
+draws AS (SELECT file_id, seq, unnest(range(0, n)) AS draw FROM n WHERE n > 0 AND seq <> '')
+SELECT * FROM (SELECT 'kmer' AS source, cnt AS weight, kmer AS text FROM kmers WHERE cnt > 1 ORDER BY cnt DESC, first_at DESC, kmer LIMIT {PREPARED // 10 // K})
+UNION ALL SELECT 'segment', file_id, substring(seq, ({_drawn("'0:' || file_id || ':' || draw")} % greatest(1, length(seq) - {SEGMENT - 1}))::INT + 1, {SEGMENT}) FROM draws""")
 def ref_prepare(spark, d):
-    return reference.prepare_reference(seqs(spark, d))
+    """A small reference: the same shares as with the defaults (128 and 5000 symbols), pieces scaled to these tables."""
+    return reference.prepare_reference(seqs(spark, d), PREPARED, K, SEGMENT)
 
 
 # -- factors --------------------------------------------------------------------------------------
 
 
-@query("rlz_factorize")
+@query("rlz_factorize", f"WITH RECURSIVE {_FACTORS} SELECT * FROM factors")
 def rlz_factorize(spark, d):
     return factorize.factors(encoded(spark, d))
 
 
-@query("rlz_factorize_range")
+@query("rlz_factorize_range", f"WITH RECURSIVE {_NEAR_FACTORS} SELECT * FROM factors")
 def rlz_factorize_range(spark, d):
-    return factorize.factors(factorize.factorize(seq_blocks(spark, d), ref_text(spark, d), (reference.PADDING, 1 << 40)))
+    """Factors near their block's own place in a reference that repeats its alphabet."""
+    near = reference.collect_reference(ref_build_ranges(spark, d))
+    return factorize.factors(factorize.factorize_near(seq_blocks(spark, d), near, REACH))
 
 
 @query("rlz_min_length")
 def rlz_min_length(spark, d):
-    return factorize.with_validity(factorize.factors(encoded(spark, d)), 6)
+    """Matches of some length that end in the valid parts of the reference; other characters alone at -1."""
+    return factorize.factors(factorize.factorize_valid(seq_blocks(spark, d), ref_text(spark, d), LEAST, VALID))
 
 
 @query("factor_decode", f"WITH {_SEQ}, {_BLOCKS} SELECT file_id, block_no, text FROM blocks")
@@ -366,34 +489,34 @@ def bitpack(spark, d):
     return factorize.decode(factorize.decode_blocks(factorize.encode_blocks(encoded(spark, d))), ref_text(spark, d))
 
 
-@query("block_bitwidth")
+@query("block_bitwidth", f"WITH RECURSIVE {_FACTORS} SELECT file_id, block_no, count(*) AS n, min(ref_pos) AS low, max(ref_pos) AS high, {_bits('max(ref_pos)')} AS width, {_bits('max(ref_pos) - min(ref_pos)')} AS delta_width FROM factors GROUP BY file_id, block_no")
 def block_bitwidth(spark, d):
     return factorize.block_widths(encoded(spark, d))
 
 
-@query("block_encoded_bytes")
+@query("block_encoded_bytes", f"WITH RECURSIVE {_FACTORS}, {_SIZES} SELECT *, pos_bytes + len_bytes AS bytes_len FROM sizes")
 def block_encoded_bytes(spark, d):
     return factorize.encoded_bytes(encoded(spark, d))
 
 
-@query("encoded_size")
+@query("encoded_size", f"WITH RECURSIVE {_FACTORS}, {_SIZES} SELECT file_id, count(*) AS n_blocks, sum(pos_bytes + len_bytes) AS bytes FROM sizes GROUP BY file_id")
 def encoded_size(spark, d):
     return factorize.encoded_bytes(encoded(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("bytes_len").alias("bytes"))
 
 
-@query("encoded_offsets")
+@query("encoded_offsets", f"WITH RECURSIVE {_FACTORS}, {_SIZES} SELECT file_id, block_no, coalesce(sum(pos_bytes + len_bytes) OVER (PARTITION BY file_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_pos, pos_bytes + len_bytes AS bytes_len FROM sizes")
 def encoded_offsets(spark, d):
     return blocks.block_offsets(factorize.encoded_bytes(encoded(spark, d)))
 
 
-@query("segment_index")
+@query("segment_index", f"WITH RECURSIVE {_FACTORS}, runs AS (SELECT file_id, block_no, min(text_off) AS seg_start, sum(len) AS n FROM (SELECT *, factor_no - row_number() OVER (PARTITION BY file_id, block_no ORDER BY factor_no) AS run FROM factors WHERE len < {SHORT}) GROUP BY file_id, block_no, run) SELECT r.file_id, r.block_no, r.seg_start, substring(b.text, r.seg_start + 1, r.n::BIGINT) AS seg_text FROM runs r JOIN blocks b ON b.file_id = r.file_id AND b.block_no = r.block_no")
 def segment_index(spark, d):
-    return factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5)
+    return factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), SHORT)
 
 
-@query("search_segments")
+@query("search_segments", f"WITH RECURSIVE {_FACTORS}, placed AS (SELECT *, block_no * {BLOCK} + text_off AS place, row_number() OVER (PARTITION BY file_id ORDER BY block_no, factor_no) AS k FROM factors), runs AS (SELECT file_id, min(place) AS start, sum(len) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY file_id ORDER BY k) AS run FROM placed WHERE len < {SHORT}) GROUP BY file_id, run), texts AS (SELECT r.file_id, r.start, substring(s.seq, r.start + 1, r.n::BIGINT) AS t FROM runs r JOIN seq s ON s.file_id = r.file_id), hits AS (SELECT file_id, start + unnest(list_filter(range(0, length(t)), lambda i: substring(t, i + 1, 4) = 'TACG')) AS place FROM texts) SELECT file_id, place // {BLOCK} AS block_no, place % {BLOCK} AS pos FROM hits")
 def search_segments(spark, d):
-    return search.search_segments(factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), 5), "TACG", BLOCK)
+    return search.search_segments(factorize.short_factor_segments(encoded(spark, d), ref_text(spark, d), SHORT), "TACG", BLOCK)
 
 
 @query("text_size", f"WITH {_FASTA} SELECT file_id, length(text) AS n FROM fasta")
@@ -471,6 +594,14 @@ def patch_text(spark, d):
     return edit.patch_text(docs(spark, d), _patches(spark, d))
 
 
+@query("patch_encoded", f"WITH {_SEQ}, spliced AS (SELECT file_id, substring(seq, 1, length(seq) // 2) || 'ACGTTGCATTTACCA' || substring(seq, length(seq) // 2 + 16, length(seq)) AS seq FROM seq), {_BLOCKS.replace('FROM seq)', 'FROM spliced)')} SELECT file_id, block_no, text FROM blocks")
+def patch_encoded(spark, d):
+    """A short sequence written into the middle of every encoded file; only the blocks that it touches are encoded again."""
+    patches = seqs(spark, d).select("file_id", F.floor(F.char_length("seq") / 2).cast("int").alias("at"), F.lit("ACGTTGCATTTACCA").alias("new"))
+    ref = ref_text(spark, d)
+    return factorize.decode(edit.patch_encoded(encoded(spark, d), patches, ref, BLOCK), ref)
+
+
 @query("newline_update", f"WITH {_PATCHED} SELECT file_id, sum(n + 1) OVER (PARTITION BY file_id ORDER BY k) - 1 AS nl_pos FROM (SELECT file_id, generate_subscripts(p, 1) AS k, length(unnest(p)) AS n, len(p) AS m FROM (SELECT file_id, string_split(text, chr(10)) AS p FROM patched)) WHERE k < m")
 def newline_update(spark, d):
     return edit.shifted_newlines(lines.newline_positions(wide_docs(spark, d)), _patches(spark, d))
@@ -508,6 +639,22 @@ def dir_tree(spark, d):
     return catalog.dir_tree(paths(spark, d))
 
 
+@query("tree_remove", f"WITH {_PATHS}, {_TREE} SELECT path, parent, name, is_dir FROM tree WHERE NOT (name = 'en' OR path LIKE '%/en/%')")
+def tree_remove(spark, d):
+    """Directories named `en` go, with all below them."""
+    tree = catalog.dir_tree(paths(spark, d))
+    return catalog.remove(tree, tree.filter((F.col("name") == "en") | F.col("path").contains("/en/")).select("path"))
+
+
+@query("rename", f"WITH {_PATHS} SELECT CASE WHEN ends_with(path, '.html') THEN path || '.z' WHEN path LIKE '%/es/%' THEN replace(path, '/es/', '/moved/') ELSE path END AS path, CASE WHEN ends_with(path, '.html') THEN 'encode' ELSE 'none' END AS action FROM (SELECT DISTINCT path FROM paths)")
+def rename(spark, d):
+    """Files that get the suffix are encoded, other moves change the name only."""
+    some = paths(spark, d).select("path").distinct()
+    page = F.col("path").endswith(".html")
+    moves = some.filter(page | F.col("path").contains("/es/")).select(F.col("path").alias("old"), F.when(page, F.concat("path", F.lit(".z"))).otherwise(F.replace("path", F.lit("/es/"), F.lit("/moved/"))).alias("new"))
+    return catalog.rename_all(some, moves, ".z")
+
+
 @query("dir_listing", f"WITH {_PATHS}, {_TREE} SELECT parent, count(*) FILTER (is_dir) AS n_dirs, count(*) FILTER (NOT is_dir) AS n_files FROM tree GROUP BY parent")
 def dir_listing(spark, d):
     return catalog.dir_listing(catalog.dir_tree(paths(spark, d)))
@@ -593,10 +740,7 @@ def file_states(spark, d):
 @query("store_roundtrip", f"WITH {_FASTA} SELECT file_id, text FROM fasta")
 def store_roundtrip(spark, d):
     """Files encoded against the reference, written as tables, read again and decoded."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/helixframe"
-    path = f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = workspace(spark, "store")
     texts = fasta(spark, d)
     ref = any_ref(spark, d, lines.strip(texts))
     files.save_container(texts, ref, path, BLOCK)

@@ -86,6 +86,83 @@ def test_long_matches():
     assert common_prefix("x" * 100 + "y", "x" * 100 + "z") == 100
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=40), st.text(alphabet="abc", max_size=30), st.integers(0, 30), st.integers(0, 20))
+def test_windows_of_the_reference(ref, text, start, size):
+    """A factor begins inside the window, can't be longer there, and is the first in suffix order."""
+    ref = "abc" * 10 + ref + "abc" * 10
+    index, order = ReferenceIndex.of(ref), reference.suffix_array(ref).tolist()
+    stop = start + size + 3
+    positions, lengths = index.factors(text, (start, stop))
+    at = 0
+    for p, n in zip(positions, lengths, strict=True):
+        places = lambda m, at=at: [q for q in order if start <= q <= stop and ref[q : q + m] == text[at : at + m] and q + m <= len(ref)]
+        assert p == places(n)[0] and (at + n == len(text) or not places(n + 1))
+        at += n
+    assert at == len(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=30), st.text(alphabet="ab", max_size=25), st.integers(1, 5), st.lists(st.booleans(), min_size=30, max_size=30))
+def test_valid_matches(ref, text, least, mask):
+    """A match ends at a valid place at each of its lengths from the least one on."""
+    index, order, valid = ReferenceIndex.of(ref), reference.suffix_array(ref).tolist(), np.array(mask[: len(ref)])
+    positions, lengths = index.valid_factors(text, least, valid)
+    at = 0
+    for p, n in zip(positions, lengths, strict=True):
+        places = lambda m, at=at: [q for q in order if at + m <= len(text) and ref[q : q + m] == text[at : at + m] and q + m <= len(ref) and valid[q + m - 1]]
+        best = least - 1
+        while places(best + 1):
+            best += 1
+        assert (p, n) == ((places(best)[0], best) if best >= least else (-1, 1))
+        at += n
+    assert at == len(text)
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Positions, runs, places and k-mers are the same whatever the size of pieces."""
+    from helixframe.functions import text as text_functions
+
+    texts = ["ab\ncdEfgh\n\nij", "", "abcabcabc", "ABC", "aXbXcé\nd", "a" * 9]
+    frame = table(spark, texts)
+    for size in (1, 2, 3, 5, 100):
+        for module in (text_functions, lines, search):
+            monkeypatch.setattr(module, "PIECE", size)
+        monkeypatch.setattr(reference, "WINDOWS", size)
+        got = {(r.file_id, r.nl_rank, r.nl_pos) for r in lines.newline_positions(frame).collect()}
+        assert got == {(k, n, p) for k, t in enumerate(texts) for n, p in enumerate(m.start() for m in re.finditer("\n", t))}
+        got = {(r.file_id, r.start, r.end) for r in lines.case_runs(frame).collect()}
+        assert got == {(k, m.start(), m.end() - 1) for k, t in enumerate(texts) for m in re.finditer("[a-z]+", t)}
+        for pattern in ("a", "abc", "aa", "\n\n"):
+            rows = [tuple(r) for r in search.search_all(frame, pattern).collect()]
+            assert sorted(rows) == [(k, m.start()) for k, t in enumerate(texts) for m in re.finditer(f"(?={pattern})", t)]
+        rows = [tuple(r) for r in reference.kmers(frame.withColumnRenamed("text", "seq"), 3).collect()]
+        assert sorted(rows) == [(k, i, t[i : i + 3]) for k, t in enumerate(texts) for i in range(len(t) - 2)]
+
+
+def test_patches_of_encoded_files(spark):
+    ref, size = "ACGTTGCA", 4
+    texts = ["ACGTACGTACGT", "ACG", "", "AAAATTTTCC"]
+    frame = table(spark, texts)
+    encoded = factorize(blocks.block_split(frame, size), ref)
+    patches = spark.createDataFrame([(0, 3, "TTTTTT"), (1, 3, "GGGGGG"), (3, 0, "C")], "file_id long, at int, new string")
+    from helixframe.operators.factorize import decode, join_blocks
+
+    after = edit.patch_encoded(encoded, patches, ref, size)
+    got = {r.file_id: r.text for r in join_blocks(decode(after, ref)).collect()}
+    assert got == {0: "ACGTTTTTTCGT"[:3] + "TTTTTT" + "CGT", 1: "ACGGGGGGG", 3: "CAAATTTTCC"}
+    same = lambda df: {(r.file_id, r.block_no): (r.ref_pos, r.len) for r in df.collect()}
+    assert same(after)[3, 1] == same(encoded)[3, 1] and same(after)[3, 2] == same(encoded)[3, 2]
+
+
+def test_reference_kinds(spark, tmp_path):
+    files.save_reference(reference.single(spark, "ACGTAC"), f"file://{tmp_path}/ref")
+    assert files.load_reference(spark, f"file://{tmp_path}/ref", files.FULL)[1].count() == 6
+    for kind in (files.SAMPLED, "other"):
+        with pytest.raises(ValueError):
+            files.load_reference(spark, f"file://{tmp_path}/ref", kind)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**31), max_size=50))
 def test_codecs(values):
@@ -101,8 +178,9 @@ def test_suffix_orders_agree(spark):
     order = reference.suffix_array(text).tolist()
     assert order == sorted(range(200), key=lambda p: text[p:])
     symbols = spark.createDataFrame(list(enumerate(text)), "pos long, ch string")
-    rows = reference.suffix_order_distributed(symbols, 5).orderBy("rank").collect()
+    rows = reference.suffix_order_distributed(symbols).orderBy("rank").collect()
     assert [r.pos for r in rows] == order
+    assert reference.suffix_order_distributed(symbols.limit(0)).collect() == []
     assert reference.suffix_array("").tolist() == []
 
 

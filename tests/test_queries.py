@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 
 from helixframe.functions import bits
-from helixframe.operators import reference
+from helixframe.operators import factorize, reference
 from helixframe.operators.factorize import ReferenceIndex
 from helixframe.plans import registry
 
@@ -47,18 +47,26 @@ def greedy(text, ref):
     return out
 
 
-@pytest.mark.parametrize("name", ["rlz_factorize", "rlz_factorize_range"])
-def test_factors_are_greedy(name, spark, blocks, ref):
+def test_factors_are_greedy(spark, blocks, ref):
     found = {}
-    for r in QUERIES[name](spark, SMALL).orderBy("file_id", "block_no", "factor_no").collect():
+    for r in QUERIES["rlz_factorize"](spark, SMALL).orderBy("file_id", "block_no", "factor_no").collect():
         found.setdefault((r.file_id, r.block_no), []).append(r)
-    start = reference.PADDING if name.endswith("range") else 0
     assert set(found) == set(blocks)
     for key, rows in found.items():
-        want = greedy(blocks[key], ref[start:])
+        want = greedy(blocks[key], ref)
         assert [(ref[r.ref_pos : r.ref_pos + r.len], r.len) for r in rows] == want
         assert [r.text_off for r in rows] == [sum(n for _, n in want[:k]) for k in range(len(want))]
-        assert all(r.ref_pos >= start for r in rows)
+
+
+def test_ranges_bind(spark):
+    """Blocks move the window: factors lie inside it, and some would lie elsewhere without it."""
+    near = reference.collect_reference(registry.ref_build_ranges(spark, SMALL))
+    rows = QUERIES["rlz_factorize_range"](spark, SMALL).collect()
+    for r in rows:
+        start = r.block_no * registry.BLOCK
+        assert min(start, len(near)) - registry.REACH <= r.ref_pos <= start + registry.REACH
+    free = factorize.factors(factorize.factorize(registry.seq_blocks(spark, SMALL), near)).collect()
+    assert {tuple(r) for r in rows} != {tuple(r) for r in free}
 
 
 def test_first_in_suffix_order(ref):
@@ -70,9 +78,23 @@ def test_first_in_suffix_order(ref):
         index.factors("bz")
 
 
-def test_min_length(spark):
-    rows = QUERIES["rlz_min_length"](spark, SMALL).collect()
-    assert all(r.valid == (r.len >= 6) for r in rows) and any(r.valid for r in rows)
+def test_min_length(spark, blocks, ref):
+    """Against a plain search: matches of LEAST or more whose ends are valid at every length."""
+    valid = [any(a <= p < b for a, b in registry.VALID) for p in range(len(ref))]
+    found = {}
+    for r in QUERIES["rlz_min_length"](spark, SMALL).orderBy("file_id", "block_no", "factor_no").collect():
+        found.setdefault((r.file_id, r.block_no), []).append(r)
+    assert set(found) == set(blocks)
+    for key in sorted(found)[:40]:
+        text, at = blocks[key], 0
+        ends = lambda w: any(valid[m.start() + len(w) - 1] for m in re.finditer(f"(?={w})", ref))
+        for r in found[key]:
+            n = registry.LEAST - 1
+            while at + n < len(text) and ends(text[at : at + n + 1]):
+                n += 1
+            assert r.len == (n if n >= registry.LEAST else 1) and (r.ref_pos >= 0) == (n >= registry.LEAST)
+            assert r.ref_pos < 0 or (ref[r.ref_pos : r.ref_pos + n] == text[at : at + n] and valid[r.ref_pos + n - 1])
+            at += r.len
 
 
 def by_block(spark):
@@ -137,7 +159,9 @@ def test_samples(spark):
     parts = QUERIES["ref_prepare"](spark, SMALL).collect()
     top = Counter(s[i : i + 16] for s in seq.values() for i in range(len(s) - 15)).most_common(1)[0][1]
     assert max(r.weight for r in parts if r.source == "kmer") == top
-    assert {r.source for r in parts} == {"kmer", "segment"}
+    segments = [r for r in parts if r.source == "segment"]
+    assert abs(len(segments) - registry.PREPARED * 9 // 10 // registry.SEGMENT) <= 12
+    assert all(r.text in seq[r.weight] for r in segments)
 
 
 def test_n_bits_of_zero(spark):
