@@ -188,11 +188,13 @@ def _order_classes(signatures: DataFrame) -> np.ndarray:
 def _classes(members: DataFrame, folder: str) -> DataFrame:
     """digest, rep, n, doc_id, text_md5: a row for each set that isn't empty, with its number and its first document.
 
-    Numbers are given as the table is written, so they are fixed once it is there.
+    Numbers grow with doc_id: first documents, which later ones are often copies of, are the centres of stars. They are
+    given as the table is written, so they are fixed once it is there.
     """
     first = F.min(F.struct("doc_id", "text_md5"))
     sets = members.filter("doc_id is not null and n > 0").groupBy("digest").agg(first.alias("d"), F.first("n").alias("n"))
-    return settle(sets.select("digest", F.monotonically_increasing_id().alias("rep"), "n", "d.doc_id", "d.text_md5"), folder, "classes")
+    ordered = sets.select("digest", "n", "d.doc_id", "d.text_md5").orderBy("doc_id", "digest")
+    return settle(ordered.withColumn("rep", F.monotonically_increasing_id()), folder, "classes")
 
 
 def _once(rows: DataFrame, *keys: str) -> DataFrame:
