@@ -445,3 +445,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = rows.join(heads.select(key(F.col("text_md5")).alias("_key")), "_key", "left_semi")
     once = Window.partitionBy("_key").orderBy("doc_id")
     return kept.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1::BIGINT] ELSE []::BIGINT[] END) AS i FROM d)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM g GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS m FROM d UNION SELECT reach.r, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.m),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.m GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component_id, CASE WHEN n.h IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.h) END AS class_id
+FROM d JOIN least ON least.r = d.r LEFT JOIN n ON n.r = d.r
+"""

@@ -50,6 +50,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def base_of_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 computes before the method's verdict."""
+    return quality_rules.base_rules(table(spark, sf_dir, "documents")).drop("w")
+
+
+def base_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 computes before the method's verdict."""
+    rows = url_filter.with_rule(url_filter.lexical(table(spark, sf_dir, "pages")), url_filter.RULES)
+    return rows.select("page_id", "host", "path", "rule", "rule_verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -61,9 +72,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "base_of_op3": base_of_op3,
+    "base_of_op4": base_of_op4,
 }
 
 ORACLES: dict[str, str] = {
+    "base_of_op3": quality_rules.BASE_ORACLE,
+    "base_of_op4": url_filter.RULES_ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,

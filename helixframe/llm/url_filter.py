@@ -174,3 +174,15 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     judged = rows.withColumn("score", train(rows, total).column())
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: Host, path and rule in SQL; the trees that judge other urls have no counterpart there.
+RULES_ORACLE = f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(h, s, v) AS (VALUES {_RULES}),
+best AS (SELECT r, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY r)
+SELECT page_id, host, path, rule, verdict AS rule_verdict FROM p LEFT JOIN best USING (r)
+"""

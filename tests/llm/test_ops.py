@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,7 +75,7 @@ def test_empty_table_and_clashing_columns(spark, labels, edges, n):
 
 
 def test_registered():
-    found = {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES}
+    found = {int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))}
     assert found == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -271,6 +272,42 @@ def test_unseen_score_leaves_a_document_out(spark):
         assert unseen[k] == pytest.approx({r.doc_id: r.score for r in without.collect()}[k], abs=1e-4)
 
 
+def plain_cells(words):
+    """Cells of each word and of each word with its follower, by Spark's hash (XXH64, seed 42, chained)."""
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    two = [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, words[1:], strict=False)] + one[-1:]
+    return [h % quality_rules.BUCKETS for h in one], [h % quality_rules.BUCKETS for h in two]
+
+
+def test_verdicts_by_brute_force(spark, small):
+    """Counts, ratio, scores, threshold and verdicts in plain Python."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    cells = {k: plain_cells(re.findall(WORD, t or "")) for k, t in small}
+    size, smooth = quality_rules.BUCKETS, quality_rules.SMOOTH
+    whole, target = np.zeros(size), np.zeros(size)
+    for k, (one, two) in cells.items():
+        np.add.at(whole, one + two, 1)
+        if k in good:
+            np.add.at(target, one + two, 1)
+    llr = np.round(np.log((target + smooth) / (target.sum() + smooth * size)) - np.log((whole + smooth) / (whole.sum() + smooth * size)), 5)
+    score = {k: float(llr[one + two].mean()) if one else 0.0 for k, (one, two) in cells.items()}
+    steps = []
+    for k in good & set(cells):
+        own = np.array(cells[k][0] + cells[k][1], int)
+        if len(own) >= 2 * quality_rules.LEAST_WORDS:
+            at, n = np.unique(own, return_counts=True)
+            lost = (n * np.log((target[at] - n + smooth) / (target[at] + smooth))).sum() / len(own)
+            steps.append(math.floor(1000 * (score[k] + lost - math.log((target.sum() - len(own) + smooth * size) / (target.sum() + smooth * size)))))
+    least = sorted(steps)[int(quality_rules.SPARED * len(steps))] / 1000
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet"), labels).collect()
+    assert len(rows) == len(small)
+    for r in rows:
+        assert r.score == pytest.approx(score[r.doc_id], abs=1e-4)
+        assert abs(score[r.doc_id] - least) < 1e-4 or r.kept == (not r.base_failed and score[r.doc_id] >= least)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
 def test_no_labels_keep(spark, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(edges, none).collect())
@@ -313,6 +350,54 @@ def test_trees_learn_and_become_columns(spark):
     assert url_filter.fit(x[:0], y[:0]).trees == [] and url_filter.fit(x, y * 0).trees == []
 
 
+def plain_features(url):
+    host, path = plain_url(url)
+    n, query = max(len(url), 1), re.search(r"\?([^#]*)", url)
+    query = query[1] if query else ""
+    shares = [c / n for c in Counter(url).values()]
+    return {
+        "url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": host.count("."), "hyphens": host.count("-"),
+        "digit_ratio": sum(c in "0123456789" for c in url) / n, "entropy": -sum(p * math.log2(p) for p in shares), "params": query.count("&") + 1 if query else 0, "query_length": len(query),
+    }
+
+
+def test_verdicts_of_trees_by_hand(spark):
+    """Features, suffix rates, and every tree walked node by node."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    pages = pages.union(spark.createDataFrame([(-k, f"http://h{k % 7}.{'org' if k % 3 else 'net'}/{'es' if k % 2 else 'de'}/{k}?a=1&b={k}") for k in range(1, 300)], "page_id long, url string"))
+    rows = url_filter.with_rule(url_filter.lexical(pages), url_filter.RULES)
+    stats = url_filter.suffix_statistics(rows)
+    model = url_filter.train(url_filter.with_suffix(rows, stats), stats.agg({"known": "sum"}).first()[0])
+    slots, known, blocked = {}, Counter(), Counter()
+    for r in rows.collect():
+        slots[r.page_id] = r.slot
+        known[r.slot] += r.rule_verdict is not None
+        blocked[r.slot] += r.rule_verdict == "block"
+
+    def walk(node, x):
+        while node.feature >= 0:
+            node = node.below if x[url_filter.FEATURES[node.feature]] <= node.cut else node.above
+        return node.value
+
+    urls, seen = {r.page_id: r.url for r in pages.collect()}, Counter()
+    for r in url_filter.url_filter(pages).collect():
+        x = plain_features(urls[r.page_id]) | {"suffix_rate": (blocked[slots[r.page_id]] + 1) / (known[slots[r.page_id]] + 2)}
+        x["entropy"] = round(x["entropy"], 6)
+        p = 1 / (1 + math.exp(-model.base - sum(walk(t, x) for t in model.trees)))
+        assert r.score == pytest.approx(p, abs=1e-6)
+        if r.rule is None:
+            assert r.verdict == ("block" if r.score > 0.5 else "allow")
+            seen[r.verdict] += 1
+    assert len(seen) == 2 and model.trees
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    names = ["host", "path", "rule", "verdict", "score", "suffix", "slot", "known", "blocked", "entropy", "depth", "labels", "query", "rule_verdict", "y"]
+    rows = lambda df: Counter(map(tuple, url_filter.url_filter(df).collect()))
+    assert rows(pages.selectExpr("*", *(f"'x' AS {c}" for c in names))) == rows(pages)
+
+
 def test_url_reruns_agree(spark):
     one, two = (Counter(map(tuple, queries.QUERIES["op4_url_filter"](spark, SMALL).collect())) for _ in range(2))
     assert one == two
