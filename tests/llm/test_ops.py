@@ -14,6 +14,7 @@ import xxhash
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, queries, token_counts, url_filter
 
@@ -308,6 +309,18 @@ def test_verdicts_by_brute_force(spark, small):
     assert 0 < sum(r.kept for r in rows) < len(rows)
 
 
+def test_only_trusted_texts_are_split(spark):
+    """The threshold's filter on length must not pass below the join; blank and short trusted texts set no threshold."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model, target = quality_rules.as_constant([0.0] * quality_rules.BUCKETS), [1] * quality_rules.BUCKETS
+    trusted = spark.range(5).select(F.col("id").alias("doc_id"), F.lit(True).alias("trusted"))
+    plan = quality_rules.trusted_steps(docs, trusted, model, target)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("LeftSemi") :]
+    assert "split(" in plan and "split(" not in below
+    short = spark.createDataFrame([(1, ""), (2, None), (3, "a b"), (4, "a " * 49)], "doc_id long, text string")
+    assert quality_rules.threshold(short, trusted, model, target) == float("-inf")
+
+
 def test_no_labels_keep(spark, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(edges, none).collect())
