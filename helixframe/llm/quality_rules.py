@@ -8,8 +8,10 @@ themselves, of those long enough for the base rules: the score that all but a SP
 share reach when each is scored by a target that its own n-grams are taken out of, as
 an unseen document is.
 
-Bounds: the target's documents are at most TRUSTED labelled rows, those with the
-smallest hash of doc_id; the model has BUCKETS rows. Corpus counts cover every word.
+Every document labelled good is in the target, and every word in the counts; the
+model has BUCKETS rows. The trusted ids stand 64 in a word; up to SLOTS words are
+broadcast. Beyond that (ids far apart) they are joined in a shuffle, which a hashed
+bitmap keeps most other texts out of.
 
 Defined cases: a null or blank text has no words, score 0 and fails the base rules.
 Without labels the ratio is 0 everywhere and the method keeps what the base rules
@@ -22,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bind, discard, settle, smallest_hashes, words_of, workspace
+from helixframe.llm.common import bind, bit_of, bitmap, discard, settle, slot_of, slots_for, words_of, workspace
 
 BUCKETS = 1 << 13
-TRUSTED = 20_000
+#: Words of 64 ids each that are broadcast.
+SLOTS = 1 << 20
 SMOOTH = 0.5
 #: Documents with fewer words fail the base rules.
 LEAST_WORDS = 50
@@ -51,23 +54,41 @@ def _cell(*words: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """At most TRUSTED doc_ids of documents labelled good."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return smallest_hashes(good, TRUSTED, good.count(), "doc_id", unique=True).withColumn("trusted", F.lit(True))
+    """The doc_ids of all documents labelled good, each once."""
+    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
+def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose ids are trusted, exactly."""
+    met = lambda slot, h: (slot == F.col("slot")) & (F.col("bits").bitwiseAND(bit_of(h)) != 0)
+    key, rows = F.col("doc_id"), docs.select("doc_id", "text")
+    words = trusted.groupBy(F.shiftright(key, 6).alias("slot")).agg(F.bit_or(bit_of(key)).alias("bits"))
+    if words.count() <= SLOTS:
+        words = F.broadcast(words)
+    else:
+        slots = slots_for(trusted.count())
+        near = bitmap(trusted.select(F.xxhash64("doc_id").alias("h")), slots)
+        rows = rows.join(F.broadcast(near), met(slot_of(F.xxhash64("doc_id"), slots), F.xxhash64("doc_id")), "left_semi")
+    return rows.join(words, met(F.shiftright(key, 6), key), "left_semi")
+
+
+def cell_counts(docs: DataFrame, name: str) -> DataFrame:
+    """cell and the number of its n-grams in the documents' texts."""
+    words = docs.select(words_of(F.col("text")).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip("w", _followers().alias("v"))).alias("p"))
+    cells = pairs.select(F.explode(F.array(_cell(F.col("p.w")), _cell(F.col("p.w"), F.col("p.v")))).alias("cell"))  # no lambda: generated code
+    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, folder: str) -> DataFrame:
-    """cell, n_target, llr: the target's count and the log-likelihood ratio of each cell; one scan of all documents."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("w")).join(F.broadcast(trusted), "doc_id", "left")
-    pairs = words.select(F.coalesce("trusted", F.lit(False)).alias("t"), F.explode(F.arrays_zip("w", _followers().alias("v"))).alias("p"))
-    cells = pairs.select("t", F.explode(F.array(_cell(F.col("p.w")), _cell(F.col("p.w"), F.col("p.v")))).alias("cell"))  # no lambda: generated code
-    counts = settle(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("n_target")), folder, "counts")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
-    whole, target = total["n"] or 0, total["t"] or 0
+    """cell, n_target, llr: the target's count and the log-likelihood ratio of each cell."""
+    counts = settle(cell_counts(docs, "n"), folder, "counts")
+    targets = settle(cell_counts(trusted_rows(docs, trusted), "n_target"), folder, "targets")
+    whole, target = (c.agg(F.sum(c.columns[1])).first()[0] or 0 for c in (counts, targets))
     p = lambda c, n: (F.col(c) + SMOOTH) / F.lit(float(n) + SMOOTH * BUCKETS)
     llr = F.log(p("n_target", target) / p("n", whole)) if target else F.lit(0.0)
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("cell"))
-    full = every.join(counts, "cell", "left").na.fill(0)
+    full = every.join(counts, "cell", "left").join(targets, "cell", "left").na.fill(0)
     return settle(full.select("cell", "n_target", llr.alias("llr")), folder, "ratio")
 
 
@@ -102,7 +123,7 @@ def trusted_steps(docs: DataFrame, trusted: DataFrame, model: Column, target: li
 
     Length is a matter of the key: as a filter it would pass below the join, and every document be split into words.
     """
-    words = docs.join(F.broadcast(trusted), "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("w"))
+    words = trusted_rows(docs, trusted).select("doc_id", words_of(F.col("text")).alias("w"))
     step = F.when(F.size("w") >= LEAST_WORDS, F.floor(F.col("score") * 1000))
     return with_unseen_score(words, model, target).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -321,6 +321,28 @@ def test_only_trusted_texts_are_split(spark):
     assert quality_rules.threshold(short, trusted, model, target) == float("-inf")
 
 
+@pytest.mark.parametrize("slots", [quality_rules.SLOTS, 0])
+def test_every_good_label_is_trusted(spark, monkeypatch, slots):
+    """30,000 good labels: each of their documents is in the target and in the threshold's histogram, by broadcast and by shuffle."""
+    monkeypatch.setattr(quality_rules, "SLOTS", slots)
+    labels = spark.range(-3000, 30_000).selectExpr("id AS doc_id", "int(id >= 0) AS quality").union(spark.createDataFrame([(None, 1), (7, 1)], "doc_id long, quality int"))
+    texts = [(k, f"a{k} b " * 30) for k in range(-3000, 30_000, 300)] + [(300, "x y"), (40_000, "z " * 60), (None, "n " * 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    good = [(k, t) for k, t in texts if k is not None and 0 <= k < 30_000]
+    cells = Counter(c for _, t in good for part in plain_cells(t.split()) for c in part)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trusted = quality_rules.trusted_ids(labels)
+        ratio = sorted(quality_rules.fit_ratio(docs, trusted, quality_rules.workspace(spark, "all")).collect())
+        model, target = quality_rules.as_constant([r.llr for r in ratio]), [r.n_target for r in ratio]
+        steps = quality_rules.trusted_steps(docs, trusted, model, target).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.cell: r.n_target for r in ratio if r.n_target} == cells
+    assert sum(r.n for r in steps) == len(good) and [r.n for r in steps if r.step is None] == [1]
+
+
 def test_no_labels_keep(spark, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(edges, none).collect())
