@@ -39,7 +39,7 @@ from helixframe.llm.common import bound_batches, release_memory, tidy
 #: The published split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each generation of a worker's tables, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 64
 #: Texts whose chunks are looked up together.
 TEXTS = 512
 NEVER = np.iinfo(np.int64).max
@@ -172,8 +172,8 @@ class ByteBpe:
         """Lowest rank first, leftmost first; a merge in every word at each step."""
         out: list[list[int]] = [[]] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for start in range(0, len(order), 8192):
-            some = order[start : start + 8192]
+        for start in range(0, len(order), 2048):
+            some = order[start : start + 2048]
             short = [k for k in some if len(words[k]) <= 64]
             for k in some[len(short) :]:
                 out[k] = self._exact_long([int(b) for b in self.base[np.frombuffer(words[k], np.uint8)]])

@@ -33,8 +33,8 @@ from helixframe.llm.common import bound_batches, tidy
 
 DIMS = 512
 SEED = 0x5EED_1A16
-#: Characters that are worked on at once, cells of a count table, and trigrams that have vectors at the same time.
-PIECE, CELLS, KINDS = 1 << 20, 1 << 22, 1 << 13
+#: Characters that are worked on at once, cells of a count table (of 12 bytes), and trigrams that have vectors at the same time.
+PIECE, CELLS, KINDS = 1 << 20, 1 << 20, 1 << 13
 UNKNOWN = "und"
 
 
@@ -115,7 +115,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     n = len(used)
     code = ((place[:-2].astype(np.int64) * n + place[1:-1]) * n + place[2:])[inside]
     owner = owner[2:][inside]
-    kinds, kind = np.unique(code, return_inverse=True) if n**3 > CELLS * 4 else _dense(code)
+    kinds, kind = np.unique(code, return_inverse=True) if n**3 > CELLS * 16 else _dense(code)
     return owner, kind, used, kinds
 
 
@@ -133,8 +133,8 @@ def _dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seen = np.zeros(int(values.max()) + 1 if len(values) else 1, bool)
     seen[values] = True
     used = np.flatnonzero(seen)
-    to = np.zeros(len(seen), np.int64)
-    to[used] = np.arange(len(used))
+    to = np.zeros(len(seen), np.int32)
+    to[used] = np.arange(len(used), dtype=np.int32)
     return used, to[values]
 
 

@@ -888,6 +888,20 @@ def vec(table, c):
     return table[ord(c) - 97] if c != " " else 1 - 2 * language_id.letter_vectors(np.array([32]))[0].astype(int)
 
 
+def test_bundles_need_little_memory():
+    """Workers share an executor: the count tables of many short texts with many trigrams stay small."""
+    import tracemalloc
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900)) for _ in range(1000)]
+    language_id.bundles(texts[:2], [0, 1], 2)
+    tracemalloc.start()
+    language_id.bundles(texts, list(range(1000)), 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6
+
+
 # -- 10 ---------------------------------------------------------------------------------
 
 
